@@ -11,14 +11,15 @@ extra columns are not read and cannot clash.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES
-
 SYMBOLS = "#*$%&|<>"
+#: U+0009 to U+000D, as SQL writes them.
+TABS = "\\t\\n\\u000b\\u000c\\r"
 #: Low bits of a window key that hold its position.
 PLACE = 30
 
@@ -56,11 +57,18 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def measures() -> Column:
-    """Struct of all measurements of the column `text`."""
-    blank = "translate(coalesce(cast(text as string), ''), '\\t\\n\\u000b\\u000c\\r', '     ')"
+TEXT = "coalesce(cast(text as string), '')"
+
+
+def _without(chars: str) -> str:
+    return f"length(translate({TEXT}, '{chars}', ''))"
+
+
+def measures() -> str:
+    """SQL for a struct of all measurements of the column `text`."""
+    blank = f"translate({TEXT}, '{TABS}', '     ')"
     words = f"filter(split({blank}, ' '), x -> x != '')"
-    lines = "filter(split(coalesce(cast(text as string), ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    lines = f"filter(split({TEXT}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     keys = f"sort_array(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {PLACE}) | cast(i as bigint)))"
     near = f"coalesce(shiftright(x, {PLACE}) = shiftright(get(k, i - 1), {PLACE}), false) or coalesce(shiftright(x, {PLACE}) = shiftright(get(k, i + 1), {PLACE}), false)"
     # Windows with equal keys only may be equal; their words decide.
@@ -70,21 +78,27 @@ def measures() -> Column:
     places = f"sort_array(transform(filter(s, (x, i) -> {equal}), x -> x.p))"
     exact = f"if(size(c) = 0, 0L, {let(named, 's', let(places, 'q', covered))})"
     repeats = f"if(size(w) < 4, 0L, {let(keys, 'k', let(f'filter(k, (x, i) -> {near})', 'c', exact))})"
-    counted = f"struct(cast(size(w) as bigint) as n_words, {repeats} as n_repeat_words, {let(lines, 'l', 'struct(cast(size(l) as bigint) as n_lines, cast(size(l) - size(array_distinct(l)) as bigint) as n_dup_lines)')} as l)"
-    return F.expr(let(words, "w", counted))
+    fields = {
+        "n_words": "cast(size(w) as bigint)",
+        "word_chars": f"cast({_without(' ' + TABS)} as bigint)",
+        "n_symbols": f"cast(length({TEXT}) - {_without(SYMBOLS)} as bigint)",
+        "n_lines": "cast(size(l) as bigint)",
+        "n_dup_lines": "cast(size(l) - size(array_distinct(l)) as bigint)",
+        "n_repeat_words": repeats,
+    }
+    return let(words, "w", let(lines, "l", "struct(" + ", ".join(f"{v} as {k}" for k, v in fields.items()) + ")"))
 
 
-def _without(chars: str) -> Column:
-    return F.length(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), chars, "")).cast("long")
+def _bits(of: str = "") -> str:
+    """SQL for the failure bits; of: what stands in front of a measurement's name."""
+    tests = [re.sub(r"\b(n_\w+|word_chars)\b", rf"{of}\1", r.fails) for r in RULES]
+    return " | ".join(f"if({t}, {1 << i}L, 0L)" for i, t in enumerate(tests))
 
 
 def ledger(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, measurements, fail_bits) of every row; keep: further columns of docs to carry."""
-    whole = F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
-    rows = docs.select("doc_id", *keep, measures().alias("_m"), _without(SPACES).alias("word_chars"), (whole - _without(SYMBOLS)).alias("n_symbols"))
-    rows = rows.select("doc_id", *keep, "_m.n_words", "word_chars", "n_symbols", "_m.l.n_lines", "_m.l.n_dup_lines", "_m.n_repeat_words")
-    bits = " | ".join(f"if({r.fails}, {1 << i}L, 0L)" for i, r in enumerate(RULES))
-    return rows.withColumn("fail_bits", F.expr(bits))
+    rows = docs.select("doc_id", *keep, F.expr(measures()).alias("_m")).select("doc_id", *keep, "_m.*")
+    return rows.withColumn("fail_bits", F.expr(_bits()))
 
 
 def failed(policy: str | tuple[str, ...]) -> Column:
@@ -103,3 +117,9 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
         parts += [F.count_if(hit.bitwiseAND(F.lit(b)) != 0).alias(f"f_{n}"), F.count_if(hit == b).alias(f"o_{n}"), F.count_if(hit.bitwiseAND(F.lit(m & ~b)) == 0).alias(f"k_{n}")]
     one = rows.agg(*parts)
     return one.select(F.inline(F.array(*(F.struct(F.lit(policy).alias("policy"), F.lit(n).alias("rule"), F.col(f"f_{n}").alias("n_failed"), F.col(f"o_{n}").alias("n_only"), F.col(f"k_{n}").alias("n_kept_without")) for n in names))))
+
+
+def kept(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """Rows of docs, with all their columns, that the policy keeps. Each row is judged by itself and its
+    measurements are made once, inside the filter."""
+    return docs.where(F.expr(f"({let(measures(), 'm', _bits('m.'))} & {mask(policy)}L) = 0"))

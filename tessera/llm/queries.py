@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, lm, packing, piece, quality, simhash, suffix, urls
+from tessera.llm import ann, chains, lm, packing, piece, quality, secrets, simhash, suffix, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 100 = 0"), k=10, factor=ANN_FACTOR)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.trained())
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fp().alias("fingerprint"), "component_id")
 
 
+def op8_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(table(spark, sf_dir, "documents")).drop("doc")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,11 +73,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_secret_scan": op2_secret_scan,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_substring_chains": op8_substring_chains,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
