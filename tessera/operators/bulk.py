@@ -41,6 +41,8 @@ def qc(counts: DataFrame, obs: DataFrame, var: DataFrame, group: str | None, *,
         per = o.where(F.col(group).isNotNull()).groupBy("cell_type", group).agg(F.count("*").alias("_n")).groupBy("cell_type").agg(F.min("_n").alias("_m"), F.count("*").alias("_g"))
         return o.join(per.where(f"_m >= {min_samples} and _g > 1").select("cell_type"), "cell_type", "left_semi")
 
+    # Samples x genes are small beside the cells they come from, and every filter reads them again.
+    counts, obs, var = counts.persist(), obs.persist(), var.persist()
     o = enough(obs)
     if custom_filter is not None:
         o = o.where(custom_filter)
@@ -294,7 +296,8 @@ def fit_de(y: np.ndarray, design: np.ndarray, lib: np.ndarray, coef: np.ndarray,
         for g in np.unique(groups):
             m = groups == g
             d = design[m]
-            q = [j for j in range(d.shape[1]) if np.linalg.matrix_rank(d[:, : j + 1]) > np.linalg.matrix_rank(d[:, :j])] if d.shape[1] else []
+            rank = lambda j, d=d: int(np.linalg.matrix_rank(d[:, :j])) if j else 0
+            q = [j for j in range(d.shape[1]) if rank(j + 1) > rank(j)]
             d = d[:, q]
             w[m] = voom(y[m], np.ones((m.sum(), 1)) if d.shape[1] >= m.sum() else d, lib[m])[1]
     n, k = design.shape
