@@ -1,0 +1,457 @@
+"""Every operator against a brute-force version, on odd rows and on sampled tables."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import ann, chains, lm, packing, piece, quality, secrets, simhash, suffix, urls
+from tessera.llm._common import components
+from tessera.llm.queries import ANN_FACTOR, ORACLE_SQL, QUERIES, table, tokenizer_files
+
+SF = "/root/testdata/sf0.001"
+GAP = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def sources(spark, odd):
+    return (odd, table(spark, SF, "documents"))
+
+
+def by_key(rows, *names):
+    return sorted(tuple(str(r[n]) for n in names) for r in rows)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 9), (7, 8), (None, 1), (3, 5), (-2, 8)] + [(i, i + 1) for i in range(20, 60)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 7: -2, 8: -2, -2: -2, **{i: 20 for i in range(20, 61)}}
+    assert components(edges.limit(0)).count() == 0
+
+
+# --- 6
+
+def quality_of(text):
+    w = GAP.findall(text)
+    c, covered = collections.Counter(zip(w, w[1:], w[2:], strict=False)), set()
+    for i in range(len(w) - 2):
+        if c[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    lines = [x for x in text.split("\n") if GAP.search(x)]
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, odd, none):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for df in sources(spark, odd):
+        rows = quality.ledger(df)
+        want = sorted((str(i), *map(str, quality_of(t))) for i, t in texts_of(df))
+        assert by_key(rows.collect(), "doc_id", *names) == want
+        assert quality.kept(df, "base").count() == rows.where(~quality.failed("base")).count()
+        kept = rows.where(~quality.failed("v1")).count()
+        a = {r["rule"]: r for r in quality.ablation(rows).collect()}
+        assert all(r["n_kept_without"] == kept + r["n_only"] for r in a.values()) and a["few_words"]["n_failed"] > 0
+    assert quality.ledger(none).count() == 0 and quality.kept(none).columns == none.columns
+
+
+# --- 7
+
+def fingerprint_of(text):
+    import xxhash
+
+    w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, odd, none):
+    for df in sources(spark, odd):
+        texts = texts_of(df)
+        fps = [fingerprint_of(t) for _, t in texts]
+        root = list(range(len(texts)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 4:
+                    root[find(i)] = find(j)
+        least = {}
+        for i, (d, _) in enumerate(texts):
+            if d is not None:
+                least[find(i)] = min(least.get(find(i), d), d)
+        want = sorted((str(d), format(fps[i], "016x"), str(least.get(find(i)))) for i, (d, _) in enumerate(texts))
+        got = simhash.clusters(df).select("doc_id", simhash.hex_fp().alias("f"), "component_id")
+        assert by_key(got.collect(), "doc_id", "f", "component_id") == want
+    assert simhash.clusters(none).count() == 0
+    kept = [r["doc_id"] for r in simhash.representatives(odd).collect()]
+    assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept
+
+
+def test_ball_hashing_is_whole(spark):
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 30, dtype=np.int64)
+    rows = set(base.tolist())
+    for b in base[:15].tolist():
+        for _ in range(25):
+            rows.add(b ^ sum(1 << int(i) for i in rng.choice(62, int(rng.integers(1, 6)), replace=False)))
+    fps = sorted(rows)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for variants in (1 << 9, 1 << 21):  # many places with blocks, and few
+        pairs = {(r["a"], r["b"]) for r in simhash.near_pairs(df, place_variants=variants).collect()}
+        assert all(0 < (a ^ b).bit_count() <= 4 for a, b in pairs)
+        root = {x: x for x in fps}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        assert all(find(a) == find(b) for a in fps for b in fps if (a ^ b).bit_count() <= 4)
+
+
+# --- 3
+
+def removed_of(texts, width):
+    count = collections.Counter()
+    for t in texts:
+        count.update(t[i : i + width] for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        covered = np.zeros(len(t), bool)
+        for i in range(len(t) - width + 1):
+            if count[t[i : i + width]] > 1:
+                covered[i : i + width] = True
+        runs = int((np.diff(np.concatenate(([0], covered.astype(int)))) == 1).sum())
+        kept = bytes(np.frombuffer(t, np.uint8)[~covered])
+        out.append((len(t), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_arrays_are_sorted():
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        texts = [rng.integers(1, (2, 3, 9, 60)[trial % 4], int(rng.integers(0, 70))) for _ in range(6)]
+        order, at = suffix.suffix_arrays(texts)
+        for t, a, e in zip(texts, at[:-1], at[1:], strict=True):
+            s = [*t.tolist(), 0]
+            assert (order[a:e] - a).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    assert suffix.suffix_arrays([])[0].size == 0
+
+
+@pytest.mark.parametrize("group", [24, 1])
+def test_suffix_dedup(spark, odd, none, group, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", group)  # 1: every group of unlike segments is dealt anew
+    for df in sources(spark, odd):
+        texts = texts_of(df)
+        want = sorted((str(i), *map(str, r)) for (i, _), r in zip(texts, removed_of([t.encode() for _, t in texts], 400), strict=True))
+        got = suffix.dedup(df).collect()
+        assert by_key(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert suffix.dedup(none).count() == 0
+    whole = suffix.dedup(odd, texts=True).where("n_removed > 0").first()
+    assert len(whole["kept"]) == whole["n_bytes"] - whole["n_removed"] and len(whole["spans"]) == whole["n_spans"]
+
+
+# --- 9 and 5
+
+def test_pieces_match_the_library(spark, odd, none):
+    import public_tokenizers as P
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for df in sources(spark, odd):
+        want = []
+        for i, t in texts_of(df):
+            ids = sp.encode(t) + [sp.eos_id()]
+            want.append((str(i), str(len(ids)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), "0"))
+        assert by_key(piece.round_trip(df, path).collect(), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_unlike") == sorted(want)
+    assert piece.round_trip(none, path).count() == 0
+    m = piece.PieceModel(path)
+    for t in ("▁ a▁b", "\n\n  x\n ", "\x00\x7f é́ 🙂🙂 ", "aaaaaaaaaaaaaaaaaaaaaaaa", " " * 37 + "z"):
+        assert m.encode(t) == sp.encode(t) + [sp.eos_id()], t
+    assert m.decode_cut([m.bytes[0xFF], m.bytes[0x41]]) == "�A"
+
+
+def test_packing(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_files()[0])
+    for df in sources(spark, odd):
+        rows = packing.pack(df, tokenizer_files()).collect()
+        texts = texts_of(df)
+        assert sum(r["piece"] == 0 for r in rows) == len(texts)
+        want = collections.Counter()
+        for i, x in texts:
+            ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4")
+            first = len(ids) % 1024 or 1024
+            starts = [0, *range(first, len(ids), 1024)]
+            for k, a in enumerate(starts):
+                e = starts[k + 1] if k + 1 < len(starts) else len(ids)
+                want[(i, k, a, e - a, zlib.crc32(ids[a:e].tobytes()))] += 1
+        assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+        places = collections.defaultdict(list)
+        for r in rows:
+            places[r["sequence_id"]].append((r["offset"], r["length"]))
+        for p in places.values():
+            at = 0
+            for o, n in sorted(p):
+                assert o == at
+                at += n
+            assert at <= 1024
+        assert len(places) <= -(-sum(r["length"] for r in rows) // 1024) + 3
+    assert packing.pack(none, tokenizer_files()).count() == 0
+    special = packing.tokenizer(*tokenizer_files()).ids("a<|endoftext|>b").tolist()
+    assert special == t.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_bin_completion_beats_best_fit_and_reaches_small_optima():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        counts = collections.Counter(int(x) for x in rng.integers(1, 10, int(rng.integers(1, 9))))
+        bins = packing.plan(dict(counts), 10)
+        used = collections.Counter()
+        for b, n in bins:
+            assert sum(b) <= 10
+            used.update({k: v * n for k, v in collections.Counter(b).items()})
+        assert used == counts
+        items = sorted(counts.elements(), reverse=True)
+
+        def fits(m, left, rest):
+            if not rest:
+                return True
+            tried = set()
+            for i, room in enumerate(left):
+                if room >= rest[0] and room not in tried:
+                    tried.add(room)
+                    if fits(m, left[:i] + [room - rest[0]] + left[i + 1 :], rest[1:]):
+                        return True
+            return False
+
+        best = next(m for m in range(1, len(items) + 1) if fits(m, [10] * m, items))
+        assert sum(n for _, n in bins) == best
+    assert packing.plan({}, 10) == []
+
+
+# --- 1
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(500, 12)).astype(np.float32)
+    v[100:140] = v[100]
+    rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(900, None, 0), (901, [0.0] * 12, 0), (902, [float("nan")] * 12, 0), (903, [None] * 12, 0), (904, [], 0), (7, [float(x) for x in v[7]], 0), (700, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = ann.search(df, df.where("vec_id % 100 = 0"), k=10, shard_rows=100).collect()
+    have = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        have[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(have) == {0, 100, 200, 300, 400}
+    for i in have:
+        d = np.sqrt(((v.astype(float) - v[i].astype(float)) ** 2).sum(1))
+        order = [int(j) for j in np.lexsort((np.arange(500), d)) if j != i][:10]
+        assert [x for x, _ in have[i]] == order
+        assert np.allclose([s for _, s in have[i]], d[order], rtol=1e-12)
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    few = ann.search(df.where("vec_id < 4"), df.where("vec_id = 0"), k=10)
+    assert few.count() == 3
+
+
+def test_recall_of_the_query(spark):
+    e = table(spark, SF, "embeddings").toPandas()
+    m, ids = np.stack(e["embedding"].to_numpy()).astype(float), e["vec_id"].to_numpy()
+    got = collections.defaultdict(set)
+    for r in QUERIES["op1_nearest_neighbours"](spark, SF).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((m - m[i]) ** 2).sum(1)
+        hits += len(got[ids[i]] & {int(ids[j]) for j in np.lexsort((ids, d)) if j != i and True} & {int(x) for x in ids[[j for j in np.lexsort((ids, d)) if j != i][:10]]})
+    assert ANN_FACTOR >= 1 and hits / (10 * (ids % 100 == 0).sum()) >= 0.9
+
+
+# --- 4
+
+def test_lm_base(spark, odd, none):
+    token = lambda t: [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", t.encode())] + [b" end"]
+    for df in sources(spark, odd):
+        texts = texts_of(df)
+        out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+        seen = collections.Counter()
+        for i, t in texts:
+            if not out(i):
+                seen.update(token(t))
+        n, v = sum(seen.values()), len(seen)
+        want = sorted((str(i), str(out(i)), str(len(w := token(t))), str(sum(seen[x] > 0 for x in w)), str(n), f"{sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w):.6f}") for i, t in texts)
+        rows = lm.score(df, tokenizer_files(), rounds=1, common=50).collect()
+        assert sorted((str(r["doc_id"]), str(r["held_out"]), str(r["n_tokens"]), str(r["n_known"]), str(r["train_tokens"]), f"{r['base_score']:.6f}") for r in rows) == want
+        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    assert lm.score(none, tokenizer_files()).count() == 0
+
+
+def test_lm_gradients_and_causality():
+    rng = np.random.default_rng(5)
+    w = {k: v.astype(np.float64) for k, v in lm.fresh().items()}
+    w["b"] += rng.normal(0, 0.1, w["b"].shape)
+    x, y = rng.integers(0, lm.BUCKETS, (3, lm.SPAN)), rng.integers(-1, lm.CLASSES, (3, lm.SPAN))
+    g, _ = lm.gradients(w, x, y)
+    for k in w:
+        at = tuple(int(rng.integers(n)) for n in w[k].shape) if k != "E" else (int(x[0, 3]), 2)
+        up, down = ({n: a.copy() for n, a in w.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        num = (lm.gradients(up, x, y)[1] - lm.gradients(down, x, y)[1]) / 2e-5
+        assert np.isclose(num, g[k][at], rtol=1e-3, atol=1e-7), k
+    z = lm.forward(w, x)["z"]
+    x2 = x.copy()
+    x2[:, 20:] = 0
+    assert np.allclose(lm.forward(w, x2)["z"][:, :20], z[:, :20]) and np.allclose(np.exp(z).sum(-1), 1)
+
+
+def test_lm_windows_score_every_id_once():
+    counts = np.arange(lm.IDS) % 50
+    m = lm.Model(counts, lm.fresh())
+    for k in lm.SHAPES:
+        m.weights[k][:] = 0  # every class alike: a score is then a plain sum
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, lm.IDS, n) for n in (1, 31, 32, 33, 56, 57, 200)]
+    want = [m.share[t].sum() - len(t) * math.log10(lm.CLASSES) for t in texts]
+    assert np.allclose(m.scores(texts), want, rtol=1e-6)
+    assert np.isclose(sum(10 ** m.share[m.klass == 3]), 1)
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(7)
+    one = np.tile(np.array([5, 9, 2, 7]), 20)
+    windows = np.stack([np.concatenate(([-1], one[i : i + lm.SPAN])) for i in rng.integers(0, 4, 600)])
+    bucket, klass = np.arange(lm.IDS) % lm.BUCKETS, np.arange(lm.IDS) % lm.CLASSES
+    w = lm.train(lm.fresh(), windows, bucket, klass, batch=8)
+    x, y = np.where(windows[:, :-1] >= 0, bucket[np.maximum(windows[:, :-1], 0)], lm.START), klass[windows[:, 1:]]
+    assert lm.gradients(w, x, y)[1] < 0.5 < lm.gradients(lm.fresh(), x, y)[1]
+
+
+# --- 8
+
+def test_chains(spark, odd, none):
+    for df in sources(spark, odd):
+        texts = dict(texts_of(df))
+        held = collections.defaultdict(set)
+        for i, t in texts_of(df):
+            w = t.encode().lower().split()
+            for k in range(len(w) - 49):
+                held[b" ".join(w[k : k + 50])].add((i, hash(t)))
+        want = {i for s in held.values() if len(s) > 1 for i, _ in s}
+        rows = chains.passages(df).collect()
+        got = {r["doc_id"] for r in rows} | {r["partner_id"] for r in rows}
+        assert want <= got
+        for r in rows:
+            assert r["n_words"] >= 50 and r["similarity"] >= 0.8
+            if r["similarity"] == 1.0 and r["doc_id"] != 8 and r["partner_id"] != 8:
+                part = lambda d, a, e: texts[d].encode()[a:e].lower().split()
+                assert part(r["doc_id"], r["begin"], r["end"]) == part(r["partner_id"], r["partner_begin"], r["partner_end"])
+    assert chains.passages(none).count() == 0
+    out = chains.cleaned(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    kept = {r["doc_id"]: r["text"] for r in out.where("doc_id in (1, 2, 4)").collect()}
+    assert len(kept[1]) > 1000 and kept[2] == "" and kept[4] is None
+
+
+def test_chaining_is_optimal_and_lcs_exact():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(2, 9))
+        at = sorted(rng.integers(0, 40, n).tolist())
+        other = rng.integers(0, 40, n).tolist()
+        first = chains.chains(at, other)
+        value = lambda c: sum(chains.K - (chains.GAP * ((at[b] - at[a]) + (other[b] - other[a])) if i else 0) for i, (a, b) in enumerate(zip([0, *c], c, strict=False)))
+        best = 0.0
+        for mask in range(1, 1 << n):
+            c = [i for i in range(n) if mask >> i & 1]
+            if all(at[a] < at[b] and other[a] < other[b] for a, b in zip(c, c[1:], strict=False)):
+                best = max(best, value(c))
+        if first:
+            assert np.isclose(value(first[0]), best)
+    for _ in range(30):
+        a, b = ([bytes([x]) for x in rng.integers(97, 101, int(rng.integers(0, 20)))] for _ in range(2))
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+        assert chains.lcs(a, b) == t[-1, -1]
+
+
+# --- 2
+
+def test_secrets(spark, odd, none):
+    found, y = secrets.made_findings(3000)
+    x = np.array([secrets.features(f) for f in found])
+    forest = secrets.Forest().fit(x[:2000], y[:2000])
+    assert ((forest.predict(x[2000:]) >= secrets.CUT) == y[2000:]).mean() > 0.97
+    rows = secrets.scan(odd, forest).collect()
+    mine = [r for r in rows if r["doc_id"] == 11]
+    assert len(mine) == 2 and all(r["is_secret"] for r in mine)
+    text = dict(texts_of(odd))[11]
+    for r in rows:
+        value = dict(texts_of(odd.where(F.col("doc_id") == r["doc_id"])))[r["doc_id"]][r["start"] : r["end"]]
+        assert hashlib.sha256(value.encode()).hexdigest() == r["value_sha256"] or r["doc_id"] in (8, 9)
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(odd, forest).where("doc_id in (1, 4, 11)").collect()}
+    assert out[11].count(secrets.MASKED) == 2 and "AKIA" not in out[11] and out[4] is None and out[1] == dict(texts_of(odd))[1] and text != out[11]
+    assert secrets.scan(none, forest).count() == 0 and secrets.redacted(none, forest).columns == none.columns
+    reviewed = spark.createDataFrame([("run", "AAAA1111BBBB2222CCCC", "x ", " y", "", 1)], "kind string, value string, left string, right string, path string, secret int")
+    assert len(secrets.trained(reviewed, n=500).trees) == 40
+
+
+# --- 10
+
+def test_urls(spark):
+    canonical = '<html><head><LINK href="http://a.example.com/de/1" rel=canonical></head>'
+    rows = [
+        (1, "http://x.example.net/en/5?q=1", None),
+        (2, "https://X.EXAMPLE.NET/fr/5#top", ""),
+        (3, "http://a.example.com/de/1", "<p>"),
+        (4, "http://b.example.org/en/9", canonical),
+        (5, None, None),
+        (6, "no scheme/de/", ""),
+        (7, "http://www.b.example.org//en/9/?utm=1", ""),
+        (8, "http://c.org/fr/2", ""),
+        (9, "http://d.com/z", ""),
+        (10, "http://example.com.evil/de/1", ""),
+        (11, "http://net", ""),
+        (12, "http://notexample.net/en/1", ""),
+        (13, "http://e.com/1", ""),
+    ]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, rule string, verdict string")
+    edges = spark.createDataFrame([("http://d.com/z", "http://e.com/1"), ("http://e.com/1", "http://q.net/bad"), ("http://d.com/z", "http://c.org/fr/2"), (None, "http://d.com/z")], "src string, dst string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages, edges).collect()}
+    assert got[1] == ("x.example.net", "/en/5", "example.net/en/", "allow")
+    assert got[2] == ("x.example.net", "/fr/5", "net/", "block")
+    assert got[3] == ("a.example.com", "/de/1", "example.com/de/", "block")
+    assert got[4] == ("b.example.org", "/en/9", None, "block") and got[7][3] == "block"
+    assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
+    assert got[8][2:] == ("org/fr/", "allow")
+    assert got[9][2:] == (None, "allow") and got[13][3] == "allow"  # an allow of an alias takes precedence
+    assert got[10][2:] == (None, "allow") and got[11][1:] == ("", None, "allow") and got[12][2:] == ("net/", "block")
+    without = {r["page_id"]: r["verdict"] for r in urls.judge(pages, edges.where("dst not like '%org%'")).collect()}
+    assert without[9] == "block" and without[13] == "block"
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+# --- queries
+
+def test_queries_and_sql(spark):
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE_SQL) <= set(QUERIES)
