@@ -1 +1 @@
-"""Package."""
+"""Structured Streaming forms of decomposable aggregates."""
