@@ -40,13 +40,14 @@ def gene_stats(counts: DataFrame, genes: DataFrame, n_cells: int) -> DataFrame:
     return out.select("gene_idx", "nonzero", (F.col("s") / F.lit(float(n_cells))).alias("mean"), (above / F.lit(float(n_cells) * max(1, n_cells - 1))).alias("variance"))
 
 
-def clipped_sums(counts: DataFrame, clips: DataFrame) -> DataFrame:
-    """(gene_idx, clipped_sum, clipped_square_sum) with values over a gene's clip taken as the clip. Whole
+def clipped_sums(counts: DataFrame, clips: DataFrame, *by: str) -> DataFrame:
+    """([by,] gene_idx, clipped_sum, clipped_square_sum) with values over a gene's clip taken as the clip. Whole
     parts are summed exactly; clipped ones are a count times the clip."""
-    j = counts.join(clips, "gene_idx")
+    keys = [*by, "gene_idx"]
+    j = counts.join(clips, keys)
     over = whole() > F.col("clip")
-    per = j.groupBy("gene_idx", "clip").agg(F.sum(F.when(~over, whole()).otherwise(0)).alias("s"), F.sum(F.when(~over, whole() * whole()).otherwise(0)).alias("q"), F.count_if(over).alias("k"))
-    return per.select("gene_idx", (F.col("s") + F.col("k") * F.col("clip")).alias("clipped_sum"), (F.col("q") + F.col("k") * F.col("clip") * F.col("clip")).alias("clipped_square_sum"))
+    per = j.groupBy(*keys, "clip").agg(F.sum(F.when(~over, whole()).otherwise(0)).alias("s"), F.sum(F.when(~over, whole() * whole()).otherwise(0)).alias("q"), F.count_if(over).alias("k"))
+    return per.select(*keys, (F.col("s") + F.col("k") * F.col("clip")).alias("clipped_sum"), (F.col("q") + F.col("k") * F.col("clip") * F.col("clip")).alias("clipped_square_sum"))
 
 
 def gene_std(counts: DataFrame, genes: DataFrame, n_cells: int, floor: float = 1e-8) -> DataFrame:

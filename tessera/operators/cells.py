@@ -57,36 +57,41 @@ def hvg(counts: DataFrame, genes: DataFrame, cells: DataFrame, *, num_genes: int
     """(gene_idx, highly_variable, highly_variable_rank): variance of clipped standardized counts, with the
     trend of log variance on log mean by local regression; with batches, genes are ranked by the number of
     batches that have them among the first num_genes, then by median rank."""
-    ranked: list[np.ndarray] = []
-    batches = [None] if batch is None else [r[0] for r in cells.select(batch).where(F.col(batch).isNotNull()).distinct().orderBy(batch).collect()]
-    for b in batches:
-        of = cells if b is None else cells.where(F.col(batch) == F.lit(b))
-        own = counts.join(of.select("cell_idx"), "cell_idx", "left_semi")
-        n = of.count()
-        # Gene-sized state only.
-        s = ag.gene_stats(own, genes, n).orderBy("gene_idx").toPandas()
-        mean, var = s["mean"].to_numpy(float), s["variance"].to_numpy(float)
+    own = cells.select("cell_idx", (F.lit(0) if batch is None else F.col(batch)).alias("_b")).where("_b is not null")
+    sizes = {r["_b"]: r["count"] for r in own.groupBy("_b").count().collect()}
+    grouped = counts.join(own, "cell_idx")
+    # One plan for all batches; genes x batches rows come back.
+    sums = grouped.groupBy("_b", "gene_idx").agg(F.sum(ag.whole()).alias("s"), F.sum(ag.whole() * ag.whole()).alias("q")).toPandas()
+    ids = np.array([r[0] for r in genes.select("gene_idx").orderBy("gene_idx").collect()])
+    trends, clips = {}, []
+    for b, n in sorted(sizes.items()):
+        mine = sums[sums["_b"] == b].set_index("gene_idx")[["s", "q"]].reindex(ids).fillna(0).astype("int64").astype(object)
+        mean = (mine["s"] / n).to_numpy(float)
+        var = ((n * mine["q"] - mine["s"] * mine["s"]) / (n * max(1, n - 1))).to_numpy(float)
         ok = var > 0
         if ok.sum() < 4:
             raise ValueError("LOESS model fitting failed: too few genes vary")
-        sd = np.zeros(len(s))
+        sd = np.zeros(len(ids))
         sd[ok] = np.sqrt(10 ** stats.loess(np.log10(mean[ok]), np.log10(var[ok]), span))
-        s["clip"] = mean + sd * np.sqrt(n)
-        clips = own.sparkSession.createDataFrame(s.loc[ok, ["gene_idx", "clip"]])
-        c = ag.clipped_sums(own, F.broadcast(clips)).toPandas().set_index("gene_idx").reindex(s["gene_idx"]).fillna(0.0)
-        norm = np.zeros(len(s))
+        trends[b] = (n, mean, sd, ok)
+        clips += [(b, int(g), float(c)) for g, c in zip(ids[ok], (mean + sd * np.sqrt(n))[ok], strict=True)]
+    kind = own.schema["_b"].dataType.simpleString()
+    table = counts.sparkSession.createDataFrame(clips, f"_b {kind}, gene_idx int, clip double")
+    clipped = ag.clipped_sums(grouped, F.broadcast(table), "_b").toPandas()
+    ranked: list[np.ndarray] = []
+    for b, (n, mean, sd, ok) in trends.items():
+        c = clipped[clipped["_b"] == b].set_index("gene_idx").reindex(ids).fillna(0.0)
+        norm = np.zeros(len(ids))
         norm[ok] = ((n * mean**2 + c["clipped_square_sum"].to_numpy() - 2 * mean * c["clipped_sum"].to_numpy())[ok]) / ((n - 1) * sd[ok] ** 2)
-        order = np.lexsort((s["gene_idx"].to_numpy(), -norm))
-        rank = np.empty(len(s))
-        rank[order] = np.arange(len(s))
+        rank = np.empty(len(ids))
+        rank[np.lexsort((ids, -norm))] = np.arange(len(ids))
         ranked.append(rank)
     r = np.array(ranked)
     among, median = (r < num_genes).sum(axis=0), np.median(r, axis=0)
-    order = np.lexsort((s["gene_idx"].to_numpy(), median, -among))
-    final = np.empty(len(s), np.int64)
-    final[order] = np.arange(1, len(s) + 1)
-    s["highly_variable"], s["highly_variable_rank"] = final <= num_genes, final
-    return counts.sparkSession.createDataFrame(s[["gene_idx", "highly_variable", "highly_variable_rank"]])
+    final = np.empty(len(ids), np.int64)
+    final[np.lexsort((ids, median, -among))] = np.arange(1, len(ids) + 1)
+    rows = [(int(g), bool(k <= num_genes), int(k)) for g, k in zip(ids, final, strict=True)]
+    return counts.sparkSession.createDataFrame(rows, "gene_idx int, highly_variable boolean, highly_variable_rank int")
 
 
 BLOCK = 512
