@@ -154,6 +154,7 @@ def hex_fp(column: str = "fp") -> "F.Column":
 
 def representatives(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
     """The rows of docs (all their columns) whose doc_id is its component's smallest; of repeated rows
-    with that doc_id one stays."""
+    with that doc_id one stays. Rows without a doc_id can't be named and stay."""
     keep = clusters(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
