@@ -38,8 +38,11 @@ def qc(counts: DataFrame, obs: DataFrame, var: DataFrame, group: str | None, *,
     def enough(o: DataFrame) -> DataFrame:
         if group is None:
             return o.withColumn("_n", F.count("*").over(of_type())).where(F.col("_n") >= min_samples).drop("_n")
-        per = o.where(F.col(group).isNotNull()).groupBy("cell_type", group).agg(F.count("*").alias("_n")).groupBy("cell_type").agg(F.min("_n").alias("_m"), F.count("*").alias("_g"))
-        return o.join(per.where(f"_m >= {min_samples} and _g > 1").select("cell_type"), "cell_type", "left_semi")
+        # By windows: a join with its own aggregate would double the plan at each of the three checks.
+        known = F.col(group).isNotNull()
+        each = F.count("*").over(Window.partitionBy("cell_type", group))
+        marked = o.withColumn("_n", F.when(known, each)).withColumns({"_m": F.min("_n").over(of_type()), "_g": F.size(F.collect_set(group).over(of_type()))})
+        return marked.where((F.col("_m") >= min_samples) & (F.col("_g") > 1)).drop("_n", "_m", "_g")
 
     # Samples x genes are small beside the cells they come from, and every filter reads them again.
     counts, obs, var = counts.persist(), obs.persist(), var.persist()
@@ -58,6 +61,7 @@ def qc(counts: DataFrame, obs: DataFrame, var: DataFrame, group: str | None, *,
         limit = F.avg("_z").over(of_type()) + max_standard_deviations * F.stddev_pop("_z").over(of_type())
         o = z.withColumn("_l", limit).where("_z < _l").drop("_g", "_s", "_z", "_l")
         o = enough(o)
+    o = o.persist()  # a row for each sample
     v = var.join(o.select("cell_type").distinct(), "cell_type", "left_semi")
     kept = counts.join(o.select("cell_type", "sample"), ["cell_type", "sample"], "left_semi")
     if min_nonzero_fraction is not None:
