@@ -38,11 +38,12 @@ class Node:
 class VpTree:
     """Vantage-point tree over the rows of a matrix."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = 48, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = 128, seed: int = 7):
         order = np.argsort(ids, kind="stable")
         self.vectors, self.ids = vectors[order].astype(np.float64), ids[order]
         self.places, self.leaf, self.rng = np.arange(len(ids)), leaf, np.random.default_rng(seed)
         self.root = self._build(0, len(ids))
+        self.squares = (self.vectors**2).sum(axis=1)
 
     def _build(self, a: int, b: int) -> Node:
         if b - a <= self.leaf:
@@ -63,6 +64,26 @@ class VpTree:
         q = queries.astype(np.float64)
         best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
 
+        squares = (q**2).sum(axis=1)
+        slack = 1e-9 * (float(self.squares.max(initial=0.0)) + float(squares.max(initial=0.0)) + 1e-300)
+
+        def meet(who: np.ndarray, places: np.ndarray) -> None:
+            """Offers those pairs that may be among a query's k nearest: found by one matrix product, with
+            slack for its rounding, so that only these need exact distances."""
+            rough = squares[who][:, None] - 2 * q[who] @ self.vectors[places].T + self.squares[places]
+            may = rough <= (best_d[who, -1] ** 2 * (1 + 1e-9) + slack)[:, None]
+            rows, cols = may.any(axis=1), may.any(axis=0)
+            if rows.any():
+                who, places, may = who[rows], places[cols], may[np.ix_(rows, cols)]
+                r, c = np.nonzero(may)
+                d = np.full(may.shape, np.inf)
+                for at in range(0, len(r), 1 << 15):
+                    i, j = r[at : at + (1 << 15)], c[at : at + (1 << 15)]
+                    gap = q[who[i]] - self.vectors[places[j]]
+                    np.multiply(gap, gap, out=gap)
+                    d[i, j] = np.sqrt(gap.sum(axis=-1))
+                offer(who, places, d)
+
         def offer(who: np.ndarray, places: np.ndarray, d: np.ndarray) -> None:
             ids = np.broadcast_to(self.ids[places], d.shape)
             d = np.where(ids == own[who][:, None], np.inf, d)
@@ -78,8 +99,7 @@ class VpTree:
             if node.end:
                 places = self.places[node.at : node.end]
                 for at in range(0, len(places), 256):
-                    part = places[at : at + 256]
-                    offer(who, part, distances(q[who], self.vectors[part]))
+                    meet(who, places[at : at + 256])
                 return
             point = self.places[node.at : node.at + 1]
             d = distances(q[who], self.vectors[point])
@@ -121,7 +141,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     base = rows.select("dim", shard.cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
     sent = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
     both = base.unionByName(sent).select(F.concat_ws("/", "dim", "shard").alias("place"), "kind", "vec_id", "v")
-    laid = both.repartition(max(1, min(n_shards, 8 * slots(vectors))), "place").sortWithinPartitions("place", "kind", "vec_id")
+    laid = both.repartitionByRange(max(1, min(n_shards, 8 * slots(vectors))), "place").sortWithinPartitions("place", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, tree, wide = None, [], None, k
