@@ -34,7 +34,17 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what came from them is staged itself."""
+    for df in frames:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def doc_input(docs: DataFrame, *more: str) -> DataFrame:
@@ -75,6 +85,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         wide = star.join(least, "u").select(F.col("m").alias("u"), "v").distinct()
         wide = staged(wide, "wide")
+        unstage(star)
         least = wide.groupBy("v").agg(F.min("u").alias("m"))
         near = wide.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v")))).alias("e")).select("e.u", "e.v")
         star = staged(near.where("u <> v").distinct(), "star")
+        unstage(wide)
