@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import doc_input, row_key, staged
+from tessera.llm._common import doc_input, row_key, staged, unstage
 
 GRAM, RUN, GROUP = 32, 128, 24
 #: Low bits of a hash that hold a place.
@@ -336,9 +336,11 @@ def _dealt_groups(segments: DataFrame, width: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     """(doc, begin, end) stretches of bytes covered by windows that occur more than once. docs: rows
     (doc, text), where rows of one doc are equal."""
-    items = staged(_items(docs, width), "runs")
-    again = items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    items = staged(items.join(again, "key", "left_semi"), "repeated_runs")
+    every = staged(_items(docs, width), "runs")
+    # Written first, so that the join below has plain exchanges on both sides and AQE can split a hot core.
+    again = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated_keys")
+    items = staged(every.join(again, "key", "left_semi"), "repeated_runs")
+    unstage(every, again)
     unlike = items.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("r"))
     unlike = staged(unlike, "segments")
     whole = items.join(unlike.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("doc", F.col("first").alias("begin"), (F.col("last") + width).alias("end"))
