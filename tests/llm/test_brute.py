@@ -376,6 +376,22 @@ def test_chains(spark, odd, none):
     assert len(kept[1]) > 1000 and kept[2] == "" and kept[4] is None
 
 
+def test_chains_link_all_holders(spark):
+    rng = np.random.default_rng(3)
+    junk = lambda n: [f"j{x}" for x in rng.integers(0, 10**9, n)]
+    core, left, right = junk(30), junk(30), junk(30)
+    cases = {0: core, 9: core, 4: left + core, 5: left + core, 6: core + right, 7: core + right}
+    many = {100 + i: core for i in range(chains.CROWD)}  # a hot core, whose first and last holder have no passage
+    lines = {20: junk(3) * 30, 21: []}
+    lines[21] = lines[20][:60]
+    for more in ({}, many):
+        docs = cases | more | {max(more, default=0) + 10: core} | lines
+        df = spark.createDataFrame([(i, " ".join(junk(40) + t + junk(40))) for i, t in docs.items()], "doc_id long, text string")
+        rows = chains.passages(df).collect()
+        assert {(4, 5), (6, 7), (20, 21)} <= {(r["partner_id"], r["doc_id"]) for r in rows}
+        assert max(r["end"] - r["begin"] for r in rows if r["doc_id"] == 21) > 150
+
+
 def test_chaining_is_optimal_and_lcs_exact():
     rng = np.random.default_rng(8)
     for _ in range(60):
