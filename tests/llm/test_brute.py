@@ -392,6 +392,27 @@ def test_chains_link_all_holders(spark):
         assert max(r["end"] - r["begin"] for r in rows if r["doc_id"] == 21) > 150
 
 
+def test_chains_split_where_texts_are_unlike():
+    rng = np.random.default_rng(5)
+    junk = lambda n: [f"j{x}".encode() for x in rng.integers(0, 10**9, n)]
+    for gap in (25, 60, 100, 200):
+        one, two = junk(60), junk(60)
+        sides, index = [], []
+        for _ in range(2):
+            words = junk(30) + one + junk(gap) + two + junk(30)
+            raw = b" ".join(words)
+            byte = chains.word_places(raw)[1]
+            at = [30, 60, 85, 90 + gap, 120 + gap, 145 + gap]
+            sides.append(chains.Side(raw, 0, True, byte[at].tolist()))
+            index.append((byte, raw))
+        got = sorted(chains.align(*sides, chains.MIN_WORDS, chains.SIMILARITY))
+        parts = [index[0][1][g[0] : g[1]].split() for g in got]
+        if len(got) == 1:  # alike enough as a whole
+            assert gap == 25 and got[0][6] >= 0.8
+        else:
+            assert parts == [one, two] and [index[1][1][g[2] : g[3]].split() for g in got] == parts
+
+
 def test_chaining_is_optimal_and_lcs_exact():
     rng = np.random.default_rng(8)
     for _ in range(60):
