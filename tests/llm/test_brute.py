@@ -350,6 +350,22 @@ def test_training_lowers_the_loss():
     assert lm.gradients(w, x, y)[1] < 0.5 < lm.gradients(lm.fresh(), x, y)[1]
 
 
+def test_lm_learns_from_all_ids(spark, odd, monkeypatch):
+    made, whole = [], lm._pairs
+    monkeypatch.setattr(lm, "_pairs", lambda texts, model: made.append((whole(texts, model), model.bucket)) or made[-1][0])
+    lm.score(odd, tokenizer_files(), rounds=0).count()
+    got, bucket = made[0]
+    t, want = lm.tokenizer(*tokenizer_files()), np.zeros_like(got)
+    for i, text in texts_of(odd):
+        if not lm.held(i):
+            b = bucket[np.append(t.ids(text), lm.STOP)]
+            np.add.at(want, (np.append(lm.START, b[:-1]), b), 1)
+    assert np.array_equal(got, want)
+    for n in (1, lm.SPAN, lm.SPAN + 1, 100):
+        w = lm.windows_of(np.arange(n))
+        assert w[:, 1:].ravel()[:n].tolist() == list(range(n)) and (w[:, 1:].ravel()[n:] == -2).all() and w[:, 0].tolist() == [-1, *range(lm.SPAN - 1, n - 1, lm.SPAN)]
+
+
 # --- 8
 
 def test_chains(spark, odd, none):
