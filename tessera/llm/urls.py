@@ -54,11 +54,32 @@ CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """target as seen from a page at base; relative ones come without query and fragment. Null where it
+    has a scheme without `//` or is relative and base has no scheme."""
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    full = F.when(path.startswith("/"), path).when(path == "", path_of(base)).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    steps = F.split(F.substring(full, 2, 1 << 30), "/")
+    # The first place stands for the root, so that `..` at the root stays there.
+    walked = F.aggregate(steps, F.array(F.lit("")), lambda got, x: F.when(x == "..", F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(1)))).when(x == ".", got).otherwise(F.concat(got, F.array(x))))
+    ends = F.when(full.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    inside = F.when(root != "", F.concat(root, F.concat_ws("/", walked), ends))
+    return (
+        F.when(target.rlike(r"^[^/?#]*://"), target)
+        .when(target.startswith("//"), F.when(root != "", F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target)))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .otherwise(inside)
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) URLs of the pages' own canonical links and refreshes."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    told = F.when(html.contains("canonical") | html.contains("CANONICAL") | html.contains("efresh") | html.contains("EFRESH"), F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1)))
-    return pages.where(F.col("url").isNotNull()).select(F.col("url").cast("string").alias("src"), F.explode(told).alias("dst")).where("dst like '%://%'")
+    lower = F.translate(html, UPPER, LOWER)
+    told = F.when(lower.contains("canonical") | lower.contains("refresh"), F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1)))
+    return pages.where(F.col("url").isNotNull()).select(F.col("url").cast("string").alias("src"), F.explode(told).alias("dst")).where("dst <> ''").withColumn("dst", resolved(F.col("src"), F.col("dst"))).where("dst like '%://%'")
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> DataFrame:

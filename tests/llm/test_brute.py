@@ -476,6 +476,20 @@ def test_secrets(spark, odd, none):
 
 # --- 10
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    targets = ["/fr/x", "//host.org/x", "page.html", "../up", "../../../up/./y", "./", "..", "http://a.org/z", "a/b?u=http://c.org/1", "?q=1", "mailto:x"]
+    bases = ["http://s.org/a/b/c.html?q=/r", "https://s.org"]
+    rows = [(b, f'<link rel="Canonical" href="{t}">') for b in bases for t in targets]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r["src"], r["dst"]) for r in urls.page_edges(pages).collect()}
+    want = {(b, urljoin(b, t)) for b in bases for t in targets if t != "mailto:x"}
+    cut = lambda pairs: {(b, d.split("?")[0] if d.startswith(b[:11]) else d) for b, d in pairs}
+    slash = lambda pairs: {(b, d.rstrip("/")) for b, d in cut(pairs)}
+    assert slash(got) == slash(want)
+
+
 def test_urls(spark):
     canonical = '<html><head><LINK href="http://a.example.com/de/1" rel=canonical></head>'
     rows = [
