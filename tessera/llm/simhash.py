@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import components, doc_input, slots, staged
+from tessera.llm._common import components, doc_input, row_key, slots, staged
 
 SEED = 42
 
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, doc, fp) of every row; doc is its key, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc"), pa.array(fps.view(np.int64))], ["doc_id", "doc", "fp"])
 
-    return doc_input(docs).mapInArrow(run, "doc_id long, fp long")
+    return doc_input(docs).withColumn("doc", row_key()).mapInArrow(run, "doc_id long, doc long, fp long")
 
 
 def _flips(bits: list[int], most: int) -> list[tuple[int, int]]:
@@ -134,17 +134,22 @@ def near_pairs(distinct: DataFrame, radius: int = 2, place_variants: int = 1 <<
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius)
 
 
-def clusters(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id that can be reached
-    over fingerprints at most 2 * radius bits apart. Rows with a null doc_id take part in links; a
-    component of such rows only has component_id null."""
+def _rooted(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """clusters() with the row's key (doc) and its component's least fingerprint (root)."""
     rows = staged(fingerprints(docs, width), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = near_pairs(distinct.select("fp"), radius)
     roots = components(links).select(F.col("node").alias("fp"), "root")
     rooted = staged(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "doc", "root")
+
+
+def clusters(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id that can be reached
+    over fingerprints at most 2 * radius bits apart. Rows with a null doc_id take part in links; a
+    component of such rows only has component_id null."""
+    return _rooted(docs, width, radius).select("doc_id", "fp", "component_id")
 
 
 def hex_fp(column: str = "fp") -> "F.Column":
@@ -153,8 +158,9 @@ def hex_fp(column: str = "fp") -> "F.Column":
 
 
 def representatives(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFrame:
-    """The rows of docs (all their columns) whose doc_id is its component's smallest; of repeated rows
-    with that doc_id one stays. Rows without a doc_id can't be named and stay."""
-    keep = clusters(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs (all their columns) that stand for a component: of those with its smallest doc_id
+    the one with the least key; of repeated rows one stays. Rows without a doc_id can't be named and stay."""
+    keep = _rooted(docs, width, radius).where("doc_id = component_id").groupBy("root").agg(F.min("doc").alias("_doc")).select("_doc")
+    keyed = docs.where("doc_id is not null").withColumn("_doc", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = keyed.join(keep, "_doc", "left_semi").dropDuplicates(["_doc"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -102,6 +102,14 @@ def test_simhash(spark, odd, none):
     assert len(kept) == len(set(kept)) and 1 in kept and 2 not in kept and None in kept
 
 
+def test_representatives_of_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    one, two, three = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(3))
+    rows = [(1, one), (5, two), (5, three), (5, one), (5, two), (6, three)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (5, two), (5, three)])
+
+
 def test_ball_hashing_is_whole(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 30, dtype=np.int64)
