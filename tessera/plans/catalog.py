@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dataset(spark: SparkSession, sf_dir: str) -> SingleCell:
+def dataset(spark: SparkSession, sf_dir: str, fine: bool = False) -> SingleCell:
+    """fine: every part is a gene of its own, so that samples miss some genes at any scale."""
     t = lambda n: table(spark, sf_dir, n)
-    part = t("part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("gene"), (F.col("p_type") == "PROMO").alias("mito"))
+    gene = F.col("p_partkey").cast("string") if fine else F.concat_ws("/", "p_brand", "p_type")
+    part = t("part").select("p_partkey", gene.alias("gene"), (F.col("p_type") == "PROMO").alias("mito"))
     genes = part.groupBy("gene").agg(F.max("mito").alias("mito"))
     var = genes.select((F.row_number().over(Window.orderBy("gene")) - 1).alias("gene_idx"), "gene", "mito")
     nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("batch"))
@@ -347,19 +349,19 @@ def _(spark, sf):
     return ag.quantiles(rows, "key", "value", 0.75).select("key.cell_type", "key.sample", "quantile")
 
 
-_QC = _FULL + """, o1 AS (SELECT * FROM pobs WHERE num_cells >= 2),
+_QC = _FULL.replace("p_brand || '/' || p_type AS gene", "CAST(p_partkey AS VARCHAR) AS gene") + """, o1 AS (SELECT * FROM pobs WHERE num_cells >= 2),
 t1 AS (SELECT cell_type FROM (SELECT cell_type, batch, count(*) AS n FROM o1 GROUP BY 1, 2) GROUP BY cell_type HAVING min(n) >= 2 AND count(*) > 1),
 z AS (SELECT cell_type, sample, batch, num_cells, sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS zeros FROM grid JOIN o1 USING (cell_type, sample) WHERE cell_type IN (SELECT cell_type FROM t1) GROUP BY 1, 2, 3, 4),
 l AS (SELECT cell_type, avg(zeros) + 3 * stddev_pop(zeros) AS most FROM z GROUP BY 1),
 o2 AS (SELECT z.* FROM z JOIN l USING (cell_type) WHERE zeros < most),
 t2 AS (SELECT cell_type FROM (SELECT cell_type, batch, count(*) AS n FROM o2 GROUP BY 1, 2) GROUP BY cell_type HAVING min(n) >= 2 AND count(*) > 1),
 o3 AS (SELECT * FROM o2 WHERE cell_type IN (SELECT cell_type FROM t2)),
-q AS (SELECT cell_type, batch, gene, quantile_cont(CAST(value AS DOUBLE), 0.2) AS q FROM grid JOIN o3 USING (cell_type, sample) GROUP BY 1, 2, 3),
+q AS (SELECT cell_type, batch, gene, quantile_cont(CAST(value AS DOUBLE), 0.9) AS q FROM grid JOIN o3 USING (cell_type, sample) GROUP BY 1, 2, 3),
 v AS (SELECT cell_type, gene FROM q GROUP BY 1, 2 HAVING min(q) > 0)"""
 
 
 def checked(spark: SparkSession, sf: str) -> Pseudobulk:
-    return bulked(spark, sf).qc("batch", min_cells=2)
+    return dataset(spark, sf, fine=True).pseudobulk("sample", "cell_type").qc("batch", min_cells=2, min_nonzero_fraction=0.1)
 
 
 @query("pseudobulk_qc", _QC + " SELECT cell_type, sample, gene, value FROM pb JOIN o3 USING (cell_type, sample) JOIN v USING (cell_type, gene)")
