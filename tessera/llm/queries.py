@@ -97,19 +97,19 @@ m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS
 b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 50 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, n_lines FROM b"""
 
-_PLAIN = "regexp_replace(regexp_replace({h}, ':[0-9]+$', ''), '^(?:www\\.|m\\.)+', '') || regexp_replace(regexp_replace(regexp_replace({p}, '/{{2,}}', '/', 'g'), '(?:/index)?(?:\\.html?|\\.php)?/?$', ''), '/$', '')"
+_NODE = "lower(regexp_extract({u}, '(?s)^(.*?://)', 1)) || translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
 _RULE = """CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
 WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
 
 OP10_SQL = rf"""WITH RECURSIVE tags AS (SELECT url AS src, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS dst FROM pages WHERE url IS NOT NULL),
-links AS (SELECT src, dst FROM tags WHERE dst LIKE '%://%'),
+links AS (SELECT src, dst FROM (SELECT src, CASE WHEN dst LIKE '%://%' THEN dst WHEN starts_with(dst, '//') THEN regexp_extract(src, '(?s)^(.*?:)//', 1) || dst WHEN starts_with(dst, '/') THEN regexp_extract(src, '(?s)^(.*?://[^/?#]*)', 1) || dst END AS dst FROM tags WHERE src LIKE '%://%') WHERE dst LIKE '%://%'),
 urls AS (SELECT page_id, url FROM pages UNION ALL SELECT NULL, src FROM links UNION ALL SELECT NULL, dst FROM links),
 parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM urls),
-nodes AS (SELECT *, {_PLAIN.format(h="host", p="path")} AS node, {_RULE} AS rule FROM parts),
+nodes AS (SELECT *, CASE WHEN url LIKE '%://%' THEN {_NODE.format(u="url")} END AS node, {_RULE} AS rule FROM parts),
 edges AS (SELECT DISTINCT a.node AS x, b.node AS y FROM links JOIN nodes a ON a.url = src JOIN nodes b ON b.url = dst WHERE a.node <> b.node),
 both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
 reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
-told AS (SELECT node, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(rule IN ('net/', 'example.com/de/')) AS blocked FROM nodes WHERE rule IS NOT NULL GROUP BY node),
+told AS (SELECT node, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(rule IN ('net/', 'example.com/de/')) AS blocked FROM nodes WHERE rule IS NOT NULL AND node IS NOT NULL GROUP BY node),
 spread AS (SELECT node, allowed, blocked FROM told UNION ALL SELECT y, allowed, blocked FROM told JOIN reach ON node = x),
 class AS (SELECT node, bool_or(allowed) AS allowed, bool_or(blocked) AS blocked FROM spread GROUP BY node)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END AS verdict FROM nodes LEFT JOIN class USING (node) WHERE page_id IS NOT NULL"""
