@@ -12,10 +12,12 @@ smallest hashed 32 bytes (the leftmost at ties) and to a run of at most `RUN` wi
 that place. Equal windows lie in equal runs, and all windows of a run share a core. Only cores that occur
 more than once matter. Of segments (a run's windows together) that are equal, one is sorted; a group of
 unlike segments with an equal core is one text of the suffix array. Suffixes in it that agree over
-`width` bytes are neighbours there. A group over `GROUP` segments is dealt anew window by window, which
+`width` bytes are neighbours there, and their bytes are compared. Segments are told apart by 128 bits of hash
+beside the 64 of their core. A group over `GROUP` segments is dealt anew window by window, which
 is the same question for a core as long as the window and needs no sorting; so no group is unbounded.
 
-Null text is empty: nothing removed. Repeated rows are documents of their own, so their text repeats.
+Null text is empty: nothing removed. A very long text is cut by one task and needs memory in proportion;
+its segments are sorted with those of other texts. Repeated rows are documents of their own, so their text repeats.
 An empty table gives an empty result; extra columns are not read.
 """
 
@@ -35,7 +37,9 @@ GRAM, RUN, GROUP = 32, 128, 24
 #: Low bits of a hash that hold a place.
 PLACE = 31
 #: Bytes of text that are sorted at once.
-BATCH = 3 << 20
+BATCH = 1 << 20
+#: Rows of a record batch that goes out.
+ROWS = 4096
 
 
 def suffix_arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,19 +53,22 @@ def suffix_arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = int(offsets[-1])
     if not n:
         return np.empty(0, np.int64), offsets
-    s = np.zeros(n, np.int64)
+    if n > np.iinfo(np.int32).max:
+        raise ValueError("too much text for one suffix array")
+    s = np.zeros(n, np.int32)
     for t, a in zip(texts, offsets[:-1].tolist(), strict=True):
         s[a : a + len(t)] = t
-    text = np.repeat(np.arange(len(texts)), lengths)
-    key = text * (int(s.max()) + 1) + s
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    heads = np.flatnonzero(fresh)
-    group, seat, size = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    key = text * np.int64(int(s.max()) + 1) + s
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).astype(np.int32)
+    del key, s
+    group, seat, size = np.empty(n, np.int32), np.empty(n, np.int32), np.zeros(n, np.int32)
     group[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     seat[order] = np.arange(n)
     size[heads] = np.diff(np.append(heads, n))
-    previous = np.full(n, -1, np.int64)
+    previous = np.full(n, -1, np.int32)
     begin, top, parents = offsets[:-1], offsets[1:].copy(), np.zeros(n, bool)
     live = np.flatnonzero(top > begin)
     while len(live):
@@ -126,7 +133,7 @@ def _emit(group: np.ndarray, previous: np.ndarray, offsets: np.ndarray) -> np.nd
     """The order of suffixes from their groups and previous smaller suffixes: an ascending sweep puts the
     suffix in front of each place, and its chain of previous ones, next in their groups."""
     n = len(group)
-    out, done, free = np.full(n, -1, np.int64), np.zeros(n, bool), np.arange(n)
+    out, done, free = np.full(n, -1, np.int32), np.zeros(n, bool), np.arange(n, dtype=np.int32)
     begin, end = offsets[:-1], offsets[1:]
     live = np.flatnonzero(end > begin)
     sweep = begin.copy()
@@ -158,7 +165,7 @@ def _emit(group: np.ndarray, previous: np.ndarray, offsets: np.ndarray) -> np.nd
 
 def repeated_windows(groups: list[list[bytes]], width: int) -> list[list[np.ndarray]]:
     """For groups of segments: starts of the windows of each segment that occur elsewhere in its group."""
-    texts = [np.frombuffer(b"\0".join(g), np.uint8).astype(np.int64) + 2 for g in groups]
+    texts = [np.frombuffer(b"\0".join(g), np.uint8).astype(np.int32) + 2 for g in groups]
     for t, g in zip(texts, groups, strict=True):
         ends = np.cumsum([len(x) + 1 for x in g])[:-1] - 1
         t[ends] = 1
@@ -221,10 +228,11 @@ def runs_of(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _items(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, key, seg, first, last) of every run: hashes of its core and of its segment."""
+    """(doc, key, seg, seg2, first, last) of every run: hashes of its core (64 bits) and of its segment (128)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
+        from xxhash import xxh3_128_digest as long_digest
 
         for b in batches:
             docs_, keys, segs, firsts, lasts = [], [], [], [], []
@@ -237,29 +245,40 @@ def _items(docs: DataFrame, width: int) -> DataFrame:
                 begin = at - RUN * q
                 core = width - RUN + 1
                 keys += [digest(raw[c : c + core], k) for c, k in zip(begin.tolist(), q.tolist(), strict=True)]
-                segs += [digest(raw[a : e + width], 1) for a, e in zip(first.tolist(), last.tolist(), strict=True)]
+                segs += [long_digest(raw[a : e + width]) for a, e in zip(first.tolist(), last.tolist(), strict=True)]
                 docs_.append(np.full(len(at), doc, np.int64))
                 firsts.append(first)
                 lasts.append(last)
             if keys:
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_)), signed(keys), signed(segs), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(lasts).astype(np.int32))], ["doc", "key", "seg", "first", "last"])
+                two = np.frombuffer(b"".join(segs), "<i8").reshape(-1, 2)
+                cols = (np.concatenate(docs_), np.array(keys, np.uint64).view(np.int64), two[:, 0].copy(), two[:, 1].copy(), np.concatenate(firsts).astype(np.int32), np.concatenate(lasts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "key", "seg", "seg2", "first", "last"])
 
-    return docs.mapInArrow(run, "doc long, key long, seg long, first int, last int")
+    return docs.mapInArrow(run, "doc long, key long, seg long, seg2 long, first int, last int")
 
 
 def _cut_out(asked: DataFrame, width: int) -> DataFrame:
     """Segments of the rows (text, wanted) of documents."""
 
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "large", "doc", "first", "segment"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text, wanted in zip(b.column("doc").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
+            rows: list[tuple] = []
+            for doc, text, wanted in zip(b.column("doc").to_pylist(), b.column("text"), b.column("wanted"), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                rows += [(w["key"], w["large"], doc, w["first"], raw[w["first"] : w["last"] + width]) for w in wanted]
-            for at in range(0, len(rows), 10_000):
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], ["key", "large", "doc", "first", "segment"])
+                for at in range(0, len(wanted.values), ROWS):
+                    some = wanted.values.slice(at, ROWS)
+                    key, large, first, last = (some.field(c).to_pylist() for c in ("key", "large", "first", "last"))
+                    rows += [(k, g, doc, a, raw[a : e + width]) for k, g, a, e in zip(key, large, first, last, strict=True)]
+                    if len(rows) >= ROWS:
+                        yield out(rows)
+                        rows = []
+            if rows:
+                yield out(rows)
 
     return asked.select("doc", "text", "wanted").mapInArrow(run, "key long, large boolean, doc long, first int, segment binary")
 
@@ -303,7 +322,7 @@ def _sorted_groups(segments: DataFrame, width: int) -> DataFrame:
         for b in batches:
             for k, doc, first, seg in zip(b.column("key").to_pylist(), b.column("doc").to_pylist(), b.column("first").to_pylist(), b.column("segment").to_pylist(), strict=True):
                 if k != key:
-                    if size > 3 * BATCH:
+                    if size > BATCH:
                         yield from solve(held)
                         held, size = [], 0
                     held.append(([], []))
@@ -324,9 +343,17 @@ def _dealt_groups(segments: DataFrame, width: int) -> DataFrame:
         from xxhash import xxh3_128_digest as digest
 
         for b in batches:
+            windows, docs, begins = [], [], []
             for doc, first, seg in zip(b.column("doc").to_pylist(), b.column("first").to_pylist(), b.column("segment").to_pylist(), strict=True):
                 n = len(seg) - width + 1
-                yield pa.RecordBatch.from_arrays([pa.array([digest(seg[i : i + width]) for i in range(n)], pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(first, first + n), pa.int32())], ["window", "doc", "begin"])
+                windows += [digest(seg[i : i + width]) for i in range(n)]
+                docs += [doc] * n
+                begins += range(first, first + n)
+                if len(windows) >= 4 * ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(docs, pa.int64()), pa.array(begins, pa.int32())], ["window", "doc", "begin"])
+                    windows, docs, begins = [], [], []
+            if windows:
+                yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(docs, pa.int64()), pa.array(begins, pa.int32())], ["window", "doc", "begin"])
 
     rows = segments.select("doc", "first", "segment").mapInArrow(run, "window binary, doc long, begin int")
     again = rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
@@ -341,9 +368,9 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     again = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated_keys")
     items = staged(every.join(again, "key", "left_semi"), "repeated_runs")
     unstage(every, again)
-    unlike = items.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("r"))
+    unlike = items.groupBy("key", "seg", "seg2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("r"))
     unlike = staged(unlike, "segments")
-    whole = items.join(unlike.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("doc", F.col("first").alias("begin"), (F.col("last") + width).alias("end"))
+    whole = items.join(unlike.where("n > 1").select("key", "seg", "seg2"), ["key", "seg", "seg2"], "left_semi").select("doc", F.col("first").alias("begin"), (F.col("last") + width).alias("end"))
     several = unlike.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     wanted = unlike.join(several, "key").select("r.doc", F.struct("key", (F.col("m") > GROUP).alias("large"), "r.first", "r.last").alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
     segments = staged(_cut_out(docs.join(wanted, "doc"), width), "unlike")
@@ -360,8 +387,9 @@ def dedup(docs: DataFrame, width: int = 400, texts: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, text, s in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("s").to_pylist(), strict=True):
-                raw, cut = text.as_buffer().to_pybytes(), merged([(x["begin"], x["end"]) for x in s or ()])
+            for doc, text, s in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("s"), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                cut = joined(*(s.values.field(c).to_numpy() for c in ("begin", "end"))) if s.is_valid else []
                 kept = b"".join(raw[a:e] for a, e in zip([0, *(e for _, e in cut)], [*(a for a, _ in cut), len(raw)], strict=True))
                 row = (doc, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept, [{"begin": a, "end": e} for a, e in cut]) if texts else row)
@@ -374,6 +402,14 @@ def dedup(docs: DataFrame, width: int = 400, texts: bool = False) -> DataFrame:
     return rows.join(spans, "doc", "left").select("doc_id", "text", "s").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
 
 
+def joined(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """merged() of many spans."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    fresh = np.flatnonzero(begin[1:] > end[:-1]) + 1
+    return list(zip(begin[np.append(0, fresh)].tolist(), end[np.append(fresh, len(end)) - 1].tolist(), strict=True))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal stretches; those that touch are one."""
     out: list[tuple[int, int]] = []
