@@ -6,15 +6,18 @@ the radius and fingerprints meet on equal variants. A variant's place is decided
 fingerprints are dealt to all places their variants can have (one row for each place instead of one
 for each variant), and a place makes the variants that belong to it, sorts them, and links what shares
 one to the least fingerprint there. Places grow in number with the table, so that one of them makes
-about `place_variants` variants at any size; it makes them in blocks where there are more.
+about `place_variants` variants at any size; it makes them in blocks where there are more. A place that gets
+`HEAVY` times the mean (a dense family) is dealt again by `MORE` further bits, until none is left. Sending the
+variants themselves would take 2081 rows for each fingerprint; a place's share of them is made where it is.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Exact copies share
 one fingerprint and are never paired; repeated rows get one result row each. An empty table gives an
-empty result; extra columns are not read.
+empty result; extra columns are not read. Very long texts are hashed whole by one task, in memory in proportion.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import components, doc_input, row_key, slots, staged
+from tessera.llm._common import components, doc_input, row_key, staged
 
 SEED = 42
+#: Load of a place, in mean loads, from which on it is dealt again, and bits for that.
+HEAVY, MORE = 4, 6
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -113,25 +118,51 @@ def near_pairs(distinct: DataFrame, radius: int = 2, place_variants: int = 1 <<
     p = min(40, max(4, math.ceil(math.log2(max(1, n * ball / place_variants)))))
     # Bits near one half spread fingerprints over places best.
     by_balance = sorted(range(64), key=lambda i: (abs(2 * (stats[i + 1] or 0) - n), i))
-    place_bits, other_bits = by_balance[:p], sorted(by_balance[p:])
-    flips = _flips(place_bits, radius)
+    most = max(1, int(HEAVY * n * len(_flips(by_balance[:p], radius))) >> p)
+    rows = distinct.select(F.lit(0).cast("long").alias("place"), "fp", F.lit(radius).cast("byte").alias("left"))
+    found, done = [], 0
+    while True:
+        rows = _deal(rows, by_balance[done : done + p], radius)
+        done, p = done + p, min(MORE, 64 - done - p)
+        heavy = staged(rows.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > most).select("place"), "heavy_places") if p > 0 else None
+        if heavy is None or heavy.isEmpty():
+            found.append(_meet(rows, by_balance[done:], radius, place_variants))
+            break
+        found.append(_meet(rows.join(heavy, "place", "left_anti"), by_balance[done:], radius, place_variants))
+        rows = staged(rows.join(heavy, "place", "left_semi"), "heavy_rows")
+    met = functools.reduce(DataFrame.unionByName, found).distinct()
+    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius)
+
+
+def _deal(rows: DataFrame, bits: list[int], radius: int) -> DataFrame:
+    """Rows (place, fp, left) sent on to all places their variants can have by these bits, too; left: how many
+    more bits a variant may differ in."""
+    flips = _flips(bits, radius)
     masks, used = np.array([m for m, _ in flips], np.uint64), np.array([k for _, k in flips], np.int8)
-    chosen = np.uint64(sum(1 << b for b in place_bits))
+    chosen = np.uint64(sum(1 << b for b in bits))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
-                fps = b.column("fp").slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-                place = ((fps & chosen)[:, None] ^ masks[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(np.repeat(fps, len(masks)).view(np.int64)), pa.array(np.tile(radius - used, len(fps)))], ["place", "fp", "left"])
+                some = b.slice(at, 4096)
+                fps, held = (some.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "place"))
+                left = some.column("left").to_numpy(zero_copy_only=False)[:, None] - used[None, :]
+                place = (fps & chosen)[:, None] ^ masks[None, :] | held[:, None]
+                ok = left >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(place[ok].view(np.int64)), pa.array(np.broadcast_to(fps[:, None], ok.shape)[ok].view(np.int64)), pa.array(left[ok])], ["place", "fp", "left"])
+
+    return rows.mapInArrow(deal, "place long, fp long, left byte")
+
+
+def _meet(rows: DataFrame, bits: list[int], radius: int, place_variants: int) -> DataFrame:
+    """Links of each place, whose variants may differ in these bits."""
+    bits = sorted(bits)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = _collide(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int8), other_bits, radius, 2 * place_variants)
+        pairs = _collide(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int8), bits, radius, 2 * place_variants)
         return pd.DataFrame({"a": pairs[:, 0].astype(np.uint64).view(np.int64), "b": pairs[:, 1].astype(np.uint64).view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "place long, fp long, left byte")
-    met = dealt.groupBy("place").applyInPandas(meet, "a long, b long").distinct()
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius)
+    return rows.groupBy("place").applyInPandas(meet, "a long, b long")
 
 
 def _rooted(docs: DataFrame, width: int, radius: int) -> DataFrame:
