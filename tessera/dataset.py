@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
@@ -12,7 +13,7 @@ from tessera.operators import aggregates as ag
 from tessera.operators import cells as cl
 from tessera.operators import graphs, integration, neighbors, ranks
 from tessera.operators import tables as tb
-from tessera.sources import store
+from tessera.sources import h5ad, store
 
 SLOTS = ("obsm", "varm", "obsp", "varp", "uns")
 _UNS = (str, int, float, bool, list, dict, type(None))
@@ -62,6 +63,10 @@ class SingleCell:
         return cls(x.select("cell_idx", "gene_idx", F.col(names[2]).alias("value")), o, v)
 
     def save(self, path: str, *, overwrite: bool = False) -> None:
+        """A folder of Parquet tables, or one HDF5 file if path ends in .h5ad, where null names become empty."""
+        if path.endswith(".h5ad"):
+            self._save_h5ad(path, overwrite)
+            return
         for name, df in (("X", self.X), ("obs", self.obs), ("var", self.var)):
             if df is not None:
                 store.write(df, f"{path}/{name}", overwrite)
@@ -70,8 +75,68 @@ class SingleCell:
                 store.write(df, f"{path}/{slot}/{k}", overwrite)
         store.write_json(self.obs.sparkSession, self.uns, f"{path}/uns", overwrite)
 
+    def _save_h5ad(self, path: str, overwrite: bool) -> None:
+        path = h5ad.local(path)
+        if os.path.exists(path) and not overwrite:
+            raise FileExistsError(path)
+        # Rows of the file are places, whatever the indices are.
+        cells = tb.positions(self.obs, "cell_idx").select("cell_idx", F.col("position").alias("_cell"))
+        genes = tb.positions(self.var, "gene_idx").select("gene_idx", F.col("position").alias("_gene"))
+        w = h5ad.Writer(path)
+        n, m = h5ad.write_frame(w, "obs", self.obs, "cell_idx"), h5ad.write_frame(w, "var", self.var, "gene_idx")
+        if self.X is not None:
+            x = self.X.join(cells, "cell_idx").join(F.broadcast(genes), "gene_idx").select("_cell", "_gene", "value")
+            h5ad.write_sparse(w, "X", x, (n, m), self.X.schema["value"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"))
+        for slot, held, key, place, to, size in (("obsm", self.obsm, "cell_idx", "_cell", cells, n), ("varm", self.varm, "gene_idx", "_gene", genes, m)):
+            w.group(slot, **{"encoding-type": "dict", "encoding-version": "0.1.0"})
+            for k, df in held.items():
+                if "v" in df.columns:
+                    h5ad.write_vectors(w, f"{slot}/{k}", df.join(to, key).select(place, "v"), place, size)
+        for slot, held, to, key, size in (("obsp", self.obsp, cells, "cell_idx", n), ("varp", self.varp, genes, "gene_idx", m)):
+            w.group(slot, **{"encoding-type": "dict", "encoding-version": "0.1.0"})
+            for k, df in held.items():
+                src, dst = (to.toDF(c, f"_{c}") for c in ("src", "dst"))
+                weight = next(c for c in df.columns if c not in ("src", "dst"))
+                h5ad.write_sparse(w, f"{slot}/{k}", df.join(src, "src").join(dst, "dst").select("_src", "_dst", weight), (size, size), False)
+        h5ad.write_plain(w, "uns", self.uns)
+        w.group("", **{"encoding-type": "anndata", "encoding-version": "0.1.0"})
+        w.close()
+
+    @classmethod
+    def from_h5ad(cls, spark: SparkSession, path: str, *, X: bool | str = True, obs_columns: Sequence[str] | None = None, var_columns: Sequence[str] | None = None, obsm: Sequence[str] | None = None, varm: Sequence[str] | None = None, obsp: Sequence[str] | None = None, varp: Sequence[str] | None = None, uns: bool = True) -> "SingleCell":
+        """An .h5ad file. X: whether to take counts, or where they stand (such as "raw/X" or "layers/counts");
+        columns and keys: those wanted, all by default. Each frame reads its own part of the file when it runs."""
+        held = h5ad.slots(path)
+        wanted = lambda slot, keys: [k for k in held.get(slot, []) if keys is None or k in keys]
+        with h5ad.File(h5ad.local(path)) as f:
+            flat = {f"{s}/{k}" for s in ("obsm", "varm") for k in held.get(s, []) if f.is_dataset(f"{s}/{k}") and len(f.shape(f"{s}/{k}")) == 2}
+        at = "X" if X is True else X
+        dense = lambda slot, keys, key: {k: h5ad.vectors(spark, path, f"{slot}/{k}", key) for k in wanted(slot, keys) if f"{slot}/{k}" in flat}
+        pairs = lambda slot, keys: {k: h5ad.entries(spark, path, f"{slot}/{k}", ("src", "dst", "weight")) for k in wanted(slot, keys)}
+        return cls(
+            h5ad.entries(spark, path, at).where("value <> 0") if at and (at != "X" or "X" in held) else None,
+            h5ad.frame(spark, path, "obs", "cell_idx", obs_columns),
+            h5ad.frame(spark, path, "var", "gene_idx", var_columns, wide=False),
+            obsm=dense("obsm", obsm, "cell_idx"), varm=dense("varm", varm, "gene_idx"), obsp=pairs("obsp", obsp), varp=pairs("varp", varp),
+            uns=h5ad.plain(path) if uns else {}, check=False,
+        )
+
+    @classmethod
+    def from_10x(cls, spark: SparkSession, path: str) -> "SingleCell":
+        """A 10x .h5 file: group `matrix`, genes x cells in compressed columns."""
+        with h5ad.File(h5ad.local(path)) as f:
+            names = [k for k in ("name", "id", "feature_type", "genome") if f.is_dataset(f"matrix/features/{k}")]
+            cells, features = f.read("matrix/barcodes").tolist(), [f.read(f"matrix/features/{k}").tolist() for k in names]
+        o = spark.createDataFrame(list(enumerate(cells)), "cell_idx long, cell string")
+        v = spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*features, strict=True))], "gene_idx int, " + ", ".join(f"{'gene' if i == 0 else k} string" for i, k in enumerate(names)))
+        return cls(h5ad.entries(spark, path, "matrix", rows_first=True), o, v)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, *, X: bool = True, obs_columns: Sequence[str] | None = None, var_columns: Sequence[str] | None = None) -> "SingleCell":
+        if path.endswith(".h5ad"):
+            return cls.from_h5ad(spark, path, X=X, obs_columns=obs_columns, var_columns=var_columns)
+        if path.endswith(".h5"):
+            return cls.from_10x(spark, path)
         o, v = cls.read_obs(spark, path, obs_columns), cls.read_var(spark, path, var_columns)
         x = spark.read.parquet(f"{path}/X") if X and store.exists(spark, f"{path}/X") else None
         slots = {s: {k: spark.read.parquet(f"{path}/{s}/{k}") for k in store.children(spark, f"{path}/{s}")} for s in SLOTS[:4]}
@@ -79,23 +144,33 @@ class SingleCell:
 
     @staticmethod
     def read_obs(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+        if path.endswith(".h5ad"):
+            return h5ad.frame(spark, path, "obs", "cell_idx", columns)
         return _some(spark.read.parquet(f"{path}/obs"), columns)
 
     @staticmethod
     def read_var(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+        if path.endswith(".h5ad"):
+            return h5ad.frame(spark, path, "var", "gene_idx", columns, wide=False)
         return _some(spark.read.parquet(f"{path}/var"), columns)
 
     @staticmethod
     def read_slot(spark: SparkSession, path: str, slot: str, key: str) -> DataFrame:
+        if path.endswith(".h5ad"):
+            if slot in ("obsm", "varm"):
+                return h5ad.vectors(spark, path, f"{slot}/{key}", "cell_idx" if slot == "obsm" else "gene_idx")
+            return h5ad.entries(spark, path, f"{slot}/{key}", ("src", "dst", "weight"))
         return spark.read.parquet(f"{path}/{slot}/{key}")
 
     @staticmethod
     def read_uns(spark: SparkSession, path: str) -> dict:
-        return store.read_json(spark, f"{path}/uns")
+        return h5ad.plain(path) if path.endswith(".h5ad") else store.read_json(spark, f"{path}/uns")
 
     @staticmethod
     def ls(spark: SparkSession, path: str) -> DataFrame:
-        """(slot, columns, rows) from schemas and footers alone."""
+        """(slot, columns, rows) from schemas, headers and footers alone."""
+        if path.endswith(".h5ad"):
+            return spark.createDataFrame(h5ad.listing(path), "slot string, columns string, rows long")
         found = [n for n in ("X", "obs", "var") if store.exists(spark, f"{path}/{n}")]
         found += [f"{s}/{k}" for s in SLOTS[:4] for k in store.children(spark, f"{path}/{s}")]
         frames = {n: spark.read.parquet(f"{path}/{n}") for n in found}
