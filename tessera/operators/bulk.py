@@ -268,7 +268,7 @@ def voom(y: np.ndarray, design: np.ndarray, lib: np.ndarray, span: float = 0.5)
     order = np.argsort(sx[some], kind="stable")
     fitted = np.log2(2**fit * (lib[:, None] + 1) / 1e6)
     w = np.interp(fitted, sx[some][order], trend[order]) ** -4
-    return e, w, {"x": sx[some], "y": sy[some], "fit": trend}
+    return e, w, {"x": sx[some], "y": sy[some], "fit": trend, "genes": np.flatnonzero(some)}
 
 
 def contrast_matrix(contrasts: Mapping[str, str], names: Sequence[str]) -> np.ndarray:
@@ -290,20 +290,27 @@ def contrast_matrix(contrasts: Mapping[str, str], names: Sequence[str]) -> np.nd
 DE_COLUMNS = "cell_type string, coefficient string, gene string, logFC double, SE double, LCI double, UCI double, AveExpr double, p double, Bonferroni double, FDR double"
 
 
+def weighted(y: np.ndarray, design: np.ndarray, lib: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, dict[str, np.ndarray]]]:
+    """log2 CPM and precision weights of samples x genes counts, and the trend behind them for each group
+    ("" where there is one for all)."""
+    if groups is None:
+        e, w, trend = voom(y, design, lib)
+        return e, w, {"": trend}
+    e, w, trends = np.log2((y + 0.5) / (lib[:, None] + 1) * 1e6), np.empty(y.shape), {}
+    for g in np.unique(groups):
+        m = groups == g
+        d = design[m]
+        rank = lambda j, d=d: int(np.linalg.matrix_rank(d[:, :j])) if j else 0
+        q = [j for j in range(d.shape[1]) if rank(j + 1) > rank(j)]
+        d = d[:, q]
+        _, w[m], trends[str(g)] = voom(y[m], np.ones((m.sum(), 1)) if d.shape[1] >= m.sum() else d, lib[m])
+    return e, w, trends
+
+
 def fit_de(y: np.ndarray, design: np.ndarray, lib: np.ndarray, coef: np.ndarray, groups: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """limma-voom of samples x genes counts: effects of the columns of coef. groups: a mean-variance trend for
     each of them."""
-    if groups is None:
-        e, w, _ = voom(y, design, lib)
-    else:
-        e, w = np.log2((y + 0.5) / (lib[:, None] + 1) * 1e6), np.empty(y.shape)
-        for g in np.unique(groups):
-            m = groups == g
-            d = design[m]
-            rank = lambda j, d=d: int(np.linalg.matrix_rank(d[:, :j])) if j else 0
-            q = [j for j in range(d.shape[1]) if rank(j + 1) > rank(j)]
-            d = d[:, q]
-            w[m] = voom(y[m], np.ones((m.sum(), 1)) if d.shape[1] >= m.sum() else d, lib[m])[1]
+    e, w, _ = weighted(y, design, lib, groups)
     n, k = design.shape
     xtwx = np.einsum("ni,ng,nj->gij", design, w, design)
     xtwy = np.einsum("ni,ng,ng->gi", design, w, e)
@@ -321,12 +328,13 @@ def fit_de(y: np.ndarray, design: np.ndarray, lib: np.ndarray, coef: np.ndarray,
     return {"logFC": logfc, "SE": se, "LCI": logfc - half, "UCI": logfc + half, "p": stats.t_sf2(logfc / se, total[:, None]), "AveExpr": e.mean(axis=0)}
 
 
-def de(counts: DataFrame, obs: DataFrame, var: DataFrame, formula: str, *, coefficient: str | int | None = None, contrasts: Mapping[str, str] | None = None, group: str | bool | None = None, library: str = "library_size", **options) -> DataFrame:
-    """The DE table of all cell types: one task each. Default coefficient: the first after the intercept;
+def de(counts: DataFrame, obs: DataFrame, var: DataFrame, formula: str, *, coefficient: str | int | None = None, contrasts: Mapping[str, str] | None = None, group: str | bool | None = None, library: str = "library_size", trend: bool = False, **options) -> DataFrame:
+    """The DE table of all cell types, or with trend the numbers behind their weights (mean log2 count, root of
+    the standard deviation, and the fitted curve, of each gene and group): one task each. Default coefficient: the first after the intercept;
     default group: the categorical column behind it, where each of its groups has two samples."""
     used = [c for c in dict.fromkeys([*Design.variables(formula), *([group] if isinstance(group, str) else [])])]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def prepared(pdf: pd.DataFrame) -> tuple:
         m = pdf.pivot(index="sample", columns="gene", values="value").fillna(0.0)
         o = pdf.drop_duplicates("sample").set_index("sample").loc[m.index]
         d = Design(formula, o, **options)
@@ -348,6 +356,10 @@ def de(counts: DataFrame, obs: DataFrame, var: DataFrame, formula: str, *, coeff
                 if isinstance(group, str):
                     raise ValueError(f"a group of {behind!r} has one sample")
                 groups = None
+        return m, o, x, names, coef, groups
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, o, x, names, coef, groups = prepared(pdf)
         f = fit_de(m.to_numpy(float), x, o[library].to_numpy(float), coef, groups)
         parts = []
         for c, name in enumerate(names):
@@ -359,4 +371,13 @@ def de(counts: DataFrame, obs: DataFrame, var: DataFrame, formula: str, *, coeff
         return pd.concat(parts)
 
     rows = full(counts, obs, var).join(obs.select("cell_type", "sample", library, *[c for c in used if c in obs.columns and c != library]), ["cell_type", "sample"]).withColumn("value", F.col("value").cast("double"))
-    return rows.groupBy("cell_type").applyInPandas(run, DE_COLUMNS)
+    if not trend:
+        return rows.groupBy("cell_type").applyInPandas(run, DE_COLUMNS)
+
+    def trends(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, o, x, _, _, groups = prepared(pdf)
+        found = weighted(m.to_numpy(float), x, o[library].to_numpy(float), groups)[2]
+        parts = [pd.DataFrame({"cell_type": pdf["cell_type"].iloc[0], "group": g or None, "gene": m.columns[t["genes"]], "mean": t["x"], "spread": t["y"], "fit": t["fit"]}) for g, t in found.items()]
+        return pd.concat(parts)
+
+    return rows.groupBy("cell_type").applyInPandas(trends, "cell_type string, group string, gene string, mean double, spread double, fit double")

@@ -194,3 +194,39 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     if [(x.name, x.dataType) for x in a.schema] != [(x.name, x.dataType) for x in b.schema]:
         return False
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+
+def align(df: DataFrame, name: str, wanted: DataFrame | Sequence[str], order: str | None = None, missing: str = "error") -> DataFrame:
+    """(request, *columns of df) of the rows with the wanted names, by place in the request.
+
+    wanted: a list, or a frame with the column `name`, numbered by its column `order`. missing: "error" for
+    names that df does not hold, "drop" to leave them out, "null" to keep them with nulls.
+    """
+    if isinstance(wanted, DataFrame):
+        if order is None:
+            raise ValueError("a frame of names needs a column that orders it")
+        asked = positions(wanted.select(name, order), order).select(F.col("position").alias("request"), name)
+    else:
+        asked = df.sparkSession.createDataFrame(list(enumerate(wanted)), f"request long, `{name}` {df.schema[name].dataType.simpleString()}")
+    if missing not in ("error", "drop", "null"):
+        raise ValueError("missing must be error, drop or null")
+    if missing == "error" and (gone := asked.join(df, name, "left_anti").limit(5).collect()):
+        raise ValueError(f"names that are not there: {[r[name] for r in gone]}")
+    return asked.join(df, name, "left" if missing == "null" else "inner").select("request", *(F.col(f"`{c}`") for c in df.columns))
+
+
+def recode(codes: Column, old: Sequence[str], new: Sequence[str], other: int | None = None) -> Column:
+    """Codes of `old` levels as codes of `new` ones; a level that `new` does not have, and a code that is no level,
+    become `other` (null by default)."""
+    at = {v: i for i, v in enumerate(new)}
+    if len(at) < len(new) or len(set(old)) < len(old):
+        raise ValueError("levels must be unlike")
+    table = F.array(*(F.lit(at.get(v, other)).cast("int") for v in old)) if old else F.array().cast("array<int>")
+    return F.coalesce(F.when(codes >= 0, F.get(table, codes.cast("int"))), F.lit(other).cast("int"))
+
+
+def encode(column: Column, levels: Sequence[str]) -> Column:
+    """The place of a value among the levels; null for others."""
+    if not levels:
+        return F.lit(None).cast("int")
+    return F.element_at(F.create_map(*(F.lit(x) for i, v in enumerate(levels) for x in (v, i))), column)

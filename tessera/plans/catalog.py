@@ -480,14 +480,15 @@ def _(spark, sf):
 @query("gene_alignment", BASE + ", w AS (SELECT gene, row_number() OVER (ORDER BY gene DESC) - 1 AS request FROM genes WHERE mito), g AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS gene_idx FROM genes) SELECT request, gene, gene_idx FROM w JOIN g USING (gene)")
 def _(spark, sf):
     s = dataset(spark, sf)
-    wanted = s.var.where("mito").select("gene", (F.row_number().over(Window.orderBy(F.col("gene").desc())) - 1).alias("request"))
-    return wanted.join(s.var.select("gene", "gene_idx"), "gene").select("request", "gene", "gene_idx")
+    wanted = s.var.where("mito").select("gene", (-F.col("gene_idx")).alias("place"))
+    return tb.align(s.var, "gene", wanted, "place").select("request", "gene", "gene_idx")
 
 
 @query("recode_levels", "SELECT c_custkey AS id, CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END AS code FROM customer")
 def _(spark, sf):
-    levels = F.create_map(F.lit("MACHINERY"), F.lit(0), F.lit("BUILDING"), F.lit(1))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(levels[F.col("c_mktsegment")], F.lit(2)).alias("code"))
+    old = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    code = tb.recode(tb.encode(F.col("c_mktsegment"), old), old, ("MACHINERY", "BUILDING"), other=2)
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), code.alias("code"))
 
 
 @query("concat_obs", BASE + " SELECT c_name AS name, CASE WHEN batch < 2 THEN 'low' ELSE 'high' END AS part, gene, value FROM cells JOIN counts USING (cell)")

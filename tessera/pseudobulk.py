@@ -334,9 +334,10 @@ class Pseudobulk:
     def regress_out(self, formula: str, *, categorical_columns: Sequence[str] = (), ordinal_columns: Sequence[str] = (), error_if_int: bool = True) -> "Pseudobulk":
         return self._with(X=bulk.regress_out(self.X, self.obs, formula, categorical=categorical_columns, ordinal=ordinal_columns, error_if_int=error_if_int))
 
-    def de(self, formula: str, *, coefficient: str | int | None = None, contrasts: Mapping[str, str] | None = None, group: str | bool | None = None, categorical_columns: Sequence[str] = (), ordinal_columns: Sequence[str] = (), library_size_column: str = "library_size", allow_float: bool = False) -> "DE":
+    def de(self, formula: str, *, coefficient: str | int | None = None, contrasts: Mapping[str, str] | None = None, group: str | bool | None = None, categorical_columns: Sequence[str] = (), ordinal_columns: Sequence[str] = (), library_size_column: str = "library_size", return_voom_info: bool = True, allow_float: bool = False) -> "DE":
         self._require_counts(allow_float)
-        return DE(bulk.de(self.X, self.obs, self.var, formula, coefficient=coefficient, contrasts=contrasts, group=group, library=library_size_column, categorical=categorical_columns, ordinal=ordinal_columns))
+        found = lambda trend: bulk.de(self.X, self.obs, self.var, formula, coefficient=coefficient, contrasts=contrasts, group=group, library=library_size_column, categorical=categorical_columns, ordinal=ordinal_columns, trend=trend)
+        return DE(found(False), found(True) if return_voom_info else None)
 
     # --- sources and sinks
 
@@ -358,11 +359,30 @@ class DE:
     """Differential-expression table of eleven columns."""
 
     COLUMNS = ["cell_type", "coefficient", "gene", "logFC", "SE", "LCI", "UCI", "AveExpr", "p", "Bonferroni", "FDR"]
+    VOOM = ["cell_type", "group", "gene", "mean", "spread", "fit"]
 
-    def __init__(self, table: DataFrame):
+    def __init__(self, table: DataFrame, voom_plot_data: DataFrame | None = None):
+        """voom_plot_data: (cell_type, group, gene, mean, spread, fit) behind the weights; run only when used."""
         if table.columns != self.COLUMNS:
             raise TypeError(f"the table must have the columns {self.COLUMNS}")
-        self.table = table
+        if voom_plot_data is not None and voom_plot_data.columns != self.VOOM:
+            raise TypeError(f"the voom data must have the columns {self.VOOM}")
+        self.table, self.voom_plot_data = table, voom_plot_data
+
+    @property
+    def groups(self) -> dict[str, tuple[str, ...] | None] | None:
+        """The groups with a trend of their own in each cell type: None where there is one trend, and None
+        altogether without voom data."""
+        if self.voom_plot_data is None:
+            return None
+        rows = self.voom_plot_data.groupBy("cell_type").agg(F.sort_array(F.collect_set("group")).alias("g")).collect()
+        return {r["cell_type"]: tuple(r["g"]) or None for r in rows}
+
+    def voom_data(self, cell_type: str) -> DataFrame:
+        """A voom plot's numbers for any plotting library, by mean."""
+        if self.voom_plot_data is None:
+            raise ValueError("there is no voom data; de(return_voom_info=True) keeps it")
+        return self.voom_plot_data.where(F.col("cell_type") == cell_type).drop("cell_type").orderBy("group", "mean")
 
     def get_hits(self, *, significance_column: str = "FDR", threshold: float = 0.05, num_top_hits: int | None = None) -> DataFrame:
         return ranks.get_hits(self.table, significance_column, threshold, num_top_hits)
@@ -384,8 +404,11 @@ class DE:
         return f"DE of {r['t']} cell types, {r['c']} coefficients, {r['n']} rows"
 
     def save(self, path: str, *, overwrite: bool = False) -> None:
-        store.write(self.table, path, overwrite)
+        store.write(self.table, f"{path}/table", overwrite)
+        if self.voom_plot_data is not None:
+            store.write(self.voom_plot_data, f"{path}/voom", overwrite)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "DE":
-        return cls(spark.read.parquet(path))
+        voom = spark.read.parquet(f"{path}/voom") if store.exists(spark, f"{path}/voom") else None
+        return cls(spark.read.parquet(f"{path}/table"), voom)
