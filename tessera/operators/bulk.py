@@ -89,11 +89,13 @@ def tmm(x: np.ndarray, logratio_trim: float = 0.3, sum_trim: float = 0.05, a_cut
         w = 1 / ((lib[i] - x[i, both]) / lib[i] / x[i, both] + (lib[ref] - x[ref, both]) / lib[ref] / x[ref, both])
         ok = np.isfinite(r) & (s > a_cutoff)
         r, s, w = r[ok], s[ok], w[ok]
+        # Ranks by what the logs are of, so that ties do not hang on their rounding.
+        ratio, product = (x[i, both] / x[ref, both])[ok], (x[i, both] * x[ref, both])[ok]
         if not len(r) or np.abs(r).max() < 1e-6:
             continue
         n = len(r)
         low_r, low_s = int(n * logratio_trim) + 1, int(n * sum_trim) + 1
-        rr, rs = _ranks(r), _ranks(s)
+        rr, rs = _ranks(ratio), _ranks(product)
         keep = (rr >= low_r) & (rr <= n + 1 - low_r) & (rs >= low_s) & (rs <= n + 1 - low_s)
         f = (w[keep] * r[keep]).sum() / w[keep].sum() if keep.any() else 0.0
         out[i] = 2**f if np.isfinite(f) else 1.0

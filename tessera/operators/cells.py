@@ -95,6 +95,13 @@ def hvg(counts: DataFrame, genes: DataFrame, cells: DataFrame, *, num_genes: int
 
 
 BLOCK = 512
+#: Rows of a Gram matrix that travel together.
+STRIPE = 256
+STRIPES = "i int, rows binary"
+
+
+def _stripe(i: list[int], rows: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(rows, pa.binary())], ["i", "rows"])
 
 
 def _dense(batch: pa.RecordBatch, column: np.ndarray) -> np.ndarray:
@@ -133,13 +140,27 @@ def pca(values: DataFrame, cells: DataFrame, genes: DataFrame, num_pcs: int = 50
                 m = np.pad(m, ((0, 0), (0, g - m.shape[1])))
                 total += np.rint(m.T @ m * unit)
                 sums += np.rint(m.sum(axis=0) * unit)
-        full = np.vstack([total, sums])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(g + 1, dtype=np.int32)), pa.array(list(full.astype(np.int64)), pa.list_(pa.int64()))], ["i", "row"])
+        full = np.vstack([total, sums]).astype("<i8")
+        for i in range(0, g + 1, STRIPE):
+            yield _stripe([i], [full[i : i + STRIPE].tobytes()])
 
-    rows = packed.mapInArrow(gram, "i int, row array<bigint>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("r")).collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column("i").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                x = np.frombuffer(raw, "<i8")
+                held[i] = held[i] + x if i in held else x
+        for i, x in held.items():
+            yield _stripe([i], [x.tobytes()])
+
+    # Stripes of the matrix, added up in two steps so that no task gets those of all others.
+    stripes = -(-(g + 1) // STRIPE)
+    made = packed.mapInArrow(gram, STRIPES).withColumn("lane", F.spark_partition_id() % 32)
+    once = made.repartition(min(200, 32 * stripes), "i", "lane").select("i", "rows").mapInArrow(add, STRIPES)
     total = np.zeros((g + 1, g))
-    for r in rows:
-        total[r["i"]] = [x["x"] for x in r["r"]]
+    for r in once.repartition(stripes, "i").mapInArrow(add, STRIPES).collect():
+        x = np.frombuffer(r["rows"], "<i8").reshape(-1, g)
+        total[r["i"] : r["i"] + len(x)] = x
     total /= unit
     mean = total[g] / n
     cov = (total[:g] - n * np.outer(mean, mean)) / max(1, n - 1)

@@ -285,13 +285,34 @@ def _(spark, sf):
     return m.select("cell_type", "gene", F.round("detection_rate", 9).alias("detection_rate"), F.round("fold_change", 6).alias("fold_change"), "marker")
 
 
-@query("hvg_rank")
+def _hvg(batch: str) -> str:
+    """SQL for the variable genes: trend by local quadratic regression, solved by its normal equations."""
+    return BASE + f""", own AS (SELECT cell, {batch} AS b FROM flags JOIN cells USING (cell) WHERE passed),
+n AS (SELECT b, CAST(count(*) AS DOUBLE) AS n FROM own GROUP BY b),
+pc AS (SELECT b, gene, CAST(value AS DOUBLE) AS v FROM counts JOIN own USING (cell)),
+mv AS (SELECT n.b, n, gene, coalesce(sum(v), 0) AS s, coalesce(sum(v * v), 0) AS q FROM genes CROSS JOIN n LEFT JOIN pc USING (b, gene) GROUP BY 1, 2, 3),
+st AS (SELECT b, n, gene, s / n AS mean, (n * q - s * s) / (n * (n - 1)) AS var FROM mv),
+x AS (SELECT b, gene, log10(mean) AS x, log10(var) AS y FROM st WHERE var > 0),
+k AS (SELECT b, least(count(*), greatest(3, ceil(0.3 * count(*)))) AS k FROM x GROUP BY b),
+near AS (SELECT l.b, l.gene, r.x - l.x AS z, r.y, row_number() OVER (PARTITION BY l.b, l.gene ORDER BY abs(r.x - l.x)) AS rank FROM x l JOIN x r ON l.b = r.b),
+w AS (SELECT near.b, gene, z, y, pow(1 - pow(abs(z) / max(abs(z)) OVER (PARTITION BY near.b, gene), 3), 3) AS w FROM near JOIN k ON near.b = k.b AND rank <= k),
+m AS (SELECT b, gene, sum(w) AS s0, sum(w * z) AS s1, sum(w * z * z) AS s2, sum(w * pow(z, 3)) AS s3, sum(w * pow(z, 4)) AS s4, sum(w * y) AS t0, sum(w * z * y) AS t1, sum(w * z * z * y) AS t2 FROM w GROUP BY 1, 2),
+f AS (SELECT b, gene, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) AS fit FROM m),
+c AS (SELECT b, n, gene, mean, sqrt(pow(10, fit)) AS sd, mean + sqrt(pow(10, fit)) * sqrt(n) AS clip FROM st JOIN f USING (b, gene)),
+e AS (SELECT c.b, gene, (n * mean * mean + coalesce(sum(least(v, clip) * least(v, clip)), 0) - 2 * mean * coalesce(sum(least(v, clip)), 0)) / ((n - 1) * sd * sd) AS norm FROM c LEFT JOIN pc USING (b, gene) GROUP BY c.b, gene, n, mean, sd),
+r AS (SELECT st.b, st.gene, row_number() OVER (PARTITION BY st.b ORDER BY coalesce(norm, 0) DESC, st.gene) - 1 AS r FROM st LEFT JOIN e USING (b, gene)),
+o AS (SELECT gene, count(CASE WHEN r < 30 THEN 1 END) AS among, median(r) AS mid FROM r GROUP BY gene),
+final AS (SELECT gene, row_number() OVER (ORDER BY among DESC, mid, gene) AS highly_variable_rank FROM o)
+SELECT gene, highly_variable_rank <= 30 AS highly_variable, highly_variable_rank FROM final"""
+
+
+@query("hvg_rank", _hvg("0"))
 def _(spark, sf):
     s = passing(dataset(spark, sf)).hvg(num_genes=30)
     return s.var.select("gene", "highly_variable", "highly_variable_rank")
 
 
-@query("hvg_batches")
+@query("hvg_batches", _hvg("batch"))
 def _(spark, sf):
     s = passing(dataset(spark, sf)).hvg(num_genes=30, batch_column="batch")
     return s.var.select("gene", "highly_variable", "highly_variable_rank")
@@ -374,12 +395,23 @@ def _(spark, sf):
     return checked(spark, sf).obs.select("cell_type", "sample", "num_cells")
 
 
-@query("library_size")
+_TMM = _FULL + """, g AS (SELECT cell_type, sample, gene, CAST(value AS DOUBLE) AS x, library_size AS l, max(value) OVER (PARTITION BY cell_type, gene) AS m FROM grid JOIN lib USING (cell_type, sample)),
+y AS (SELECT * FROM g WHERE m > 0),
+f AS (SELECT cell_type, sample, quantile_cont(x, 0.75) / any_value(l) AS f75 FROM y GROUP BY 1, 2),
+ref AS (SELECT cell_type, sample AS ref FROM (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY abs(f75 - m), CAST(sample AS VARCHAR)) AS k FROM (SELECT *, avg(f75) OVER (PARTITION BY cell_type) AS m FROM f)) WHERE k = 1),
+p AS (SELECT a.cell_type, a.sample, a.x, a.l, b.x AS x0, b.l AS l0, log2((a.x / a.l) / (b.x / b.l)) AS r, 1 / ((a.l - a.x) / a.l / a.x + (b.l - b.x) / b.l / b.x) AS w, a.x / b.x AS ratio, a.x * b.x AS product FROM y a JOIN ref USING (cell_type) JOIN y b ON b.cell_type = a.cell_type AND b.sample = ref AND b.gene = a.gene WHERE a.x > 0 AND b.x > 0),
+k AS (SELECT *, count(*) OVER t AS n, rank() OVER (PARTITION BY cell_type, sample ORDER BY ratio) + (count(*) OVER (PARTITION BY cell_type, sample, ratio) - 1) / 2.0 AS rr, rank() OVER (PARTITION BY cell_type, sample ORDER BY product) + (count(*) OVER (PARTITION BY cell_type, sample, product) - 1) / 2.0 AS rs FROM p WINDOW t AS (PARTITION BY cell_type, sample)),
+c AS (SELECT cell_type, sample, CASE WHEN max(abs(r)) < 1e-6 THEN 1.0 ELSE pow(2, coalesce(sum(CASE WHEN kept THEN w * r END) / sum(CASE WHEN kept THEN w END), 0)) END AS factor FROM (SELECT *, rr BETWEEN floor(n * 0.3) + 1 AND n - floor(n * 0.3) AND rs BETWEEN floor(n * 0.05) + 1 AND n - floor(n * 0.05) AS kept FROM k) GROUP BY 1, 2)"""
+
+
+@query("library_size", _TMM + " SELECT cell_type, sample, round(library_size * factor / exp(avg(ln(factor)) OVER (PARTITION BY cell_type)), 4) AS library_size FROM c JOIN lib USING (cell_type, sample)")
 def _(spark, sf):
     return bulked(spark, sf).library_size().obs.select("cell_type", "sample", F.round("library_size", 4).alias("library_size"))
 
 
-@query("regress_out")
+@query("regress_out", _FULL + """, m AS (SELECT cell_type, sample, library_size, 2 * library_size / avg(library_size) OVER (PARTITION BY cell_type) AS a FROM lib),
+y AS (SELECT cell_type, sample, gene, CAST(num_cells AS DOUBLE) AS x, log2(value + a) - log2(library_size + 2 * a) + log2(1e6) AS y FROM grid JOIN m USING (cell_type, sample) JOIN pobs USING (cell_type, sample))
+SELECT cell_type, sample, gene, round(y - avg(y) OVER t - regr_slope(y, x) OVER t * (x - avg(x) OVER t), 6) AS value FROM y WINDOW t AS (PARTITION BY cell_type, gene)""")
 def _(spark, sf):
     p = sized(spark, sf).log_cpm()
     p = p.regress_out("~ num_cells", error_if_int=False)
@@ -550,10 +582,14 @@ def _(spark, sf):
     return tb.subsample(d, "id", n=100, draw=(F.col("id") * F.lit(2654435761)) % F.lit(4294967296))
 
 
-@query("subsample_stratified")
+@query("subsample_stratified", f"""WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS grp, {_DRAW} AS draw FROM orders),
+n AS (SELECT grp, count(*) AS size, round_even(100.0 * count(*) / (SELECT count(*) FROM o WHERE grp IS NOT NULL), 0) AS q FROM o WHERE grp IS NOT NULL GROUP BY grp),
+f AS (SELECT 100 - sum(q) AS missing FROM n),
+t AS (SELECT grp, q + CASE WHEN row_number() OVER (ORDER BY sign(missing) * size, grp) <= abs(missing) THEN sign(missing) ELSE 0 END AS q FROM n, f)
+SELECT id, grp FROM (SELECT id, grp, q, row_number() OVER (PARTITION BY grp ORDER BY draw, id) AS k FROM o JOIN t USING (grp)) WHERE k <= q""")
 def _(spark, sf):
     d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("grp"))
-    return tb.subsample(d, "id", n=100, by="grp", seed=1)
+    return tb.subsample(d, "id", n=100, by="grp", draw=(F.col("id") * F.lit(2654435761)) % F.lit(4294967296))
 
 
 # --- neighbours, graphs, integration
@@ -606,7 +642,18 @@ def _(spark, sf):
     return pairs.join(g.select(F.col("gene_idx").alias("g1"), F.col("gene").alias("a")), "g1").join(g.select(F.col("gene_idx").alias("g2"), F.col("gene").alias("b")), "g2").select(F.col("a").alias("g1"), F.col("b").alias("g2"), "both")
 
 
-@query("find_doublets")
+@query("find_doublets", BASE + """, size AS (SELECT count(*) AS n FROM cells),
+d AS (SELECT gene, count(*) AS d FROM counts GROUP BY gene),
+top AS (SELECT gene, d FROM d, size WHERE d < n ORDER BY abs(CAST(d AS DOUBLE) / n - 0.5), gene LIMIT 50),
+own AS (SELECT cell, gene FROM counts WHERE gene IN (SELECT gene FROM top)),
+together AS (SELECT a.gene AS g1, b.gene AS g2, count(*) AS k FROM own a JOIN own b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2),
+pairs AS (SELECT a.gene AS g1, b.gene AS g2, n, a.d + b.d - 2 * coalesce(k, 0) AS seen, (CAST(a.d AS DOUBLE) / n) * (1 - CAST(b.d AS DOUBLE) / n) + (1 - CAST(a.d AS DOUBLE) / n) * (CAST(b.d AS DOUBLE) / n) AS q FROM top a JOIN top b ON a.gene < b.gene CROSS JOIN size LEFT JOIN together ON g1 = a.gene AND g2 = b.gene),
+terms AS (SELECT g1, g2, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(q) + (n - i) * ln(1 - q) AS t FROM (SELECT *, unnest(range(seen, n + 1)) AS i FROM pairs WHERE seen > 0)),
+most AS (SELECT g1, g2, max(t) AS m FROM terms GROUP BY 1, 2),
+score AS (SELECT g1, g2, m + ln(sum(exp(t - m))) AS s FROM terms JOIN most USING (g1, g2) GROUP BY g1, g2, m),
+cell_score AS (SELECT a.cell, -sum(s) AS s FROM own a JOIN own b ON a.cell = b.cell AND a.gene < b.gene JOIN score ON g1 = a.gene AND g2 = b.gene GROUP BY a.cell),
+every AS (SELECT cells.cell, coalesce(s, 0) AS s FROM cells LEFT JOIN cell_score USING (cell))
+SELECT cell, row_number() OVER (ORDER BY s DESC, cell) <= floor(n * 0.05) AS doublet, round(s, 5) AS doublet_score FROM every, size""")
 def _(spark, sf):
     s = dataset(spark, sf).find_doublets(num_genes=50, doublet_fraction=0.05)
     return s.obs.select(F.col("cell_idx").alias("cell"), "doublet", F.round("doublet_score", 5).alias("doublet_score"))
@@ -641,7 +688,7 @@ def _(spark, sf):
     return graphs.umap(vectors(spark, sf), knn(spark, sf), epochs=60)
 
 
-@query("binomial_tail")
+@query("binomial_tail", "SELECT p_size, round(ln(sum(exp(lgamma(101) - lgamma(i + 1) - lgamma(101 - i) + i * ln(0.2) + (100 - i) * ln(0.8)))), 9) AS log_sf FROM (SELECT DISTINCT p_size FROM part), range(0, 101) r(i) WHERE i > p_size GROUP BY p_size")
 def _(spark, sf):
     d = table(spark, sf, "part").select("p_size").distinct()
 
