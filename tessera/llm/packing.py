@@ -2,15 +2,19 @@
 
 Only lengths matter for a packing, and there are no more than `size` of them: tasks tokenize texts and
 count lengths, the driver packs the histogram, and every piece finds its place from its rank among the
-pieces of its length. The packing is branch-and-bound over bins: the largest piece left opens a bin,
-the undominated fillings of what remains are tried in order of waste, branches that cannot beat the
-incumbent by the waste bound are cut, and best-fit decreasing gives the first incumbent. A filling is
-used as often as its lengths allow at once, so the plan has at most a few rows for each length,
-whatever the number of documents.
+pieces of its length. The packing is branch-and-bound over bins: the largest piece left opens a bin, the
+undominated fillings of what remains, of any number of pieces, are made one by one in order of waste, a
+branch ends where its waste is beyond what fewer bins than the incumbent's leave, and best-fit decreasing
+gives the first incumbent. A filling is first used as often as its lengths allow at once, then once, so that
+the plan has a few rows for each length, whatever the number of documents, and no packing is out of
+reach. The search ends with a packing that meets the lower bound (Martello and Toth's L2), when nothing
+is left to try, or after `NODES` fillings, the one limit there is; `bound` and `plan` tell the gap.
 
 A document is its ids and an end id. Only longer ones than `size` are cut, into pieces of `size` ids,
 the first piece being the shorter one. Null and empty texts are the end id alone. Repeated rows are
-packed each; an empty table gives an empty result; extra columns are not read.
+packed each; very long texts are tokenized whole by one task; an empty table gives an empty result; extra
+columns are not read. Ids come from an engine that is faster than the `tokenizers` library; the first text of
+each Arrow batch goes through the library as well, and unlike ids are an error.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import doc_input, staged
 
 END = 2
-#: Nodes of the search after which the incumbent is taken.
+#: Fillings made by the search after which the incumbent is taken.
 NODES = 4000
 
 
@@ -70,51 +74,75 @@ def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(lengths: list[int], left: dict[int, int], room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, least waste first. lengths: those left, ascending."""
-    usable = [k for k in lengths if k <= room]
-    if not usable:
-        return [()]
-    if usable[-1] == room:
-        return [(room,)]  # one piece that fits exactly dominates all others
-    have = left.get
-    found: set[tuple[int, ...]] = {(usable[-1],)}
-
-    def pairs(space: int, head: tuple[int, ...]) -> None:
-        i, j = 0, len(usable) - 1
-        best = -1
-        while i <= j:
-            a, b = usable[i], usable[j]
-            if a + b > space:
-                j -= 1
-                continue
-            need = Counter((*head, a, b))
-            if all(have(k, 0) >= n for k, n in need.items()):
-                if a + b >= best:
-                    best = a + b
-                    found.add(tuple(sorted((*head, a, b), reverse=True)))
-                if best == space:
-                    return
+def bound(counts: dict[int, int], size: int) -> int:
+    """Lower bound on the bins: the best of L2 over all thresholds, the total length among them."""
+    n = np.zeros(size + 2, np.int64)
+    for k, v in counts.items():
+        n[k] = v
+    mass = n * np.arange(size + 2)
+    many, much = np.cumsum(n), np.cumsum(mass)
+    half, best = size // 2, 0
+    for t in range(half + 1):
+        # Pieces over half a bin each need one; those of t up to half go into what is left beside the
+        # ones of at most size - t, or into further bins.
+        large = int(many[size] - many[half])
+        beside = int(many[size - t] - many[half])
+        room = beside * size - int(much[size - t] - much[half])
+        small = int(much[half] - (much[t - 1] if t else 0))
+        best = max(best, large + max(0, -(-(small - room) // size)))
+    return best
+
+
+def fillings(left: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room by pieces of `left`, least waste first, larger pieces first."""
+    lengths = sorted((k for k, v in left.items() if k <= room and v), reverse=True)
+    if not lengths or lengths[0] == room:  # one piece that fits exactly dominates all others
+        yield tuple(lengths[:1])
+        return
+    # Bit x of reach[i]: pieces of lengths[i:] can fill x.
+    reach, full = [1] * (len(lengths) + 1), (1 << (room + 1)) - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        k, sums = lengths[i], reach[i + 1]
+        for _ in range(min(left[k], room // k)):
+            more = sums | (sums << k) & full
+            if more == sums:
+                break
+            sums = more
+        reach[i] = sums
+
+    def exact(i: int, target: int) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield ()
+            return
+        while reach[i] >> target & 1:
+            k = lengths[i]
             i += 1
-
-    pairs(room, ())
-    for head in usable[-1:-12:-1]:
-        if room - head >= usable[0]:
-            pairs(room - head, (head,))
-    greedy, space, used = [], room, Counter()
-    while (k := max((x for x in usable if x <= space and have(x, 0) > used[x]), default=0)):
-        greedy.append(k)
-        used[k] += 1
-        space -= k
-    found.add(tuple(greedy))
-    ranked = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
-    out: list[tuple[int, ...]] = []
-    for f in ranked:
-        if not any(_dominated(f, g) for g in out):
-            out.append(f)
-        if len(out) == most:
-            break
-    return out
+            for n in range(min(left[k], target // k), 0, -1):
+                if reach[i] >> (target - n * k) & 1:
+                    for rest in exact(i, target - n * k):
+                        yield (k,) * n + rest
+
+    seen: list[tuple[int, ...]] = []
+    for total in range(room, 0, -1):
+        if reach[0] >> total & 1:
+            for f in exact(0, total):
+                # The latest ones are the most alike.
+                if any(_dominated(f, g) for g in seen[:-33:-1]):
+                    yield ()  # a step of the search, and no filling
+                else:
+                    seen.append(f)
+                    yield f
+
+
+class Branch(NamedTuple):
+    """A node of the search: pieces left, their total length, bins so far (linked) and their number, and
+    what is still to try: (filling, whether as often as it goes)."""
+
+    left: dict[int, int]
+    total: int
+    trail: tuple | None
+    n: int
+    tries: Iterator[tuple[tuple[int, ...], bool]]
 
 
 def plan(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -122,15 +150,48 @@ def plan(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[tu
     counts = {int(k): int(v) for k, v in counts.items() if v > 0}
     if not counts:
         return []
-    bound = -(-sum(k * v for k, v in counts.items()) // size)
+    need = bound(counts, size)
     incumbent = best_fit(counts, size)
     least = sum(n for _, n in incumbent)
-    budget = nodes
-    # Depth first; an entry is the pieces left, the bins so far, and their number.
-    stack: list[tuple[dict[int, int], tuple | None, int]] = [(counts, None, 0)]
-    while stack and least > bound and budget > 0:
-        budget -= 1
-        left, trail, n = stack.pop()
+    seen: set[int] = set()
+
+    def branch(left: dict[int, int], total: int, trail: tuple | None, n: int) -> Branch:
+        largest = max(left)
+        rest = dict(left)
+        rest[largest] -= 1
+
+        def tries() -> Iterator[tuple[tuple[int, ...], bool]]:
+            for f in fillings(rest, size - largest):
+                if f or largest == size or not any(v and k <= size - largest for k, v in rest.items()):
+                    yield (largest, *f), True
+                    if left[largest] > 1:
+                        yield (largest, *f), False
+                else:
+                    yield (), False
+
+        return Branch(left, total, trail, n, tries())
+
+    stack = [branch(counts, sum(k * v for k, v in counts.items()), None, 0)]
+    while stack and least > need and nodes > 0:
+        nodes -= 1
+        b = stack[-1]
+        bin_, often = next(b.tries, (None, False))
+        if bin_ is None:
+            stack.pop()
+            continue
+        if not bin_:
+            continue
+        used = Counter(bin_)
+        if b.total + size - sum(bin_) > (least - 1 - b.n) * size:  # fillings only get more wasteful
+            stack.pop()
+            continue
+        times = min(b.left[k] // m for k, m in used.items())
+        if not often:
+            if times == 1:
+                continue
+            times = 1
+        left = {k: v for k in b.left if (v := b.left[k] - used.get(k, 0) * times)}
+        n, trail, total = b.n + times, (b.trail, (bin_, times)), b.total - times * sum(bin_)
         if not left:
             if n < least:
                 least, incumbent = n, []
@@ -138,18 +199,10 @@ def plan(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[tu
                     trail, bin_ = trail
                     incumbent.append(bin_)
             continue
-        if n + -(-sum(k * v for k, v in left.items()) // size) >= least:
-            continue
-        lengths = sorted(left)
-        largest = lengths[-1]
-        rest = dict(left)
-        rest[largest] -= 1
-        for f in reversed(fillings([k for k in lengths if rest[k]], rest, size - largest)):
-            bin_ = (largest, *f)
-            need = Counter(bin_)
-            times = min(left[k] // m for k, m in need.items())
-            after = {k: v for k in left if (v := left[k] - need.get(k, 0) * times)}
-            stack.append((after, (trail, (bin_, times)), n + times))
+        mark = hash((n, *sorted(left.items())))
+        if n + -(-total // size) < least and mark not in seen:
+            seen.add(mark)
+            stack.append(branch(left, total, trail, n))
     return incumbent
 
 
@@ -173,6 +226,12 @@ class Tokenizer:
         return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
+    def check(self, text: str) -> None:
+        """An error if the library gives other ids."""
+        if self.library.encode(text, add_special_tokens=False).ids != self.ids(text).tolist():
+            raise ValueError("the two engines of this vocabulary give unlike ids")
+
+
 _TOKENIZERS: dict[tuple, Tokenizer] = {}
 
 
@@ -219,6 +278,8 @@ def pieces(docs: DataFrame, tokens: tuple[str, str, str], size: int) -> DataFram
         part, seen, t = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), tokenizer(*tokens)
         for b in batches:
             rows: list[tuple] = []
+            if b.num_rows:
+                t.check(b.column("text")[0].as_py())
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 raw = np.append(t.ids(text.as_py()), np.uint32(END)).astype("<u4", copy=False).tobytes()
                 n = len(raw) // 4
