@@ -115,6 +115,10 @@ def kmeans(vectors: DataFrame, k: int, *, seed: int = 0, max_iter: int = 20, tol
     return c
 
 
+#: Most clusters of an inverted file, whose centroids the driver holds, and rows of one that meet in a task.
+CLUSTERS, PART = 1 << 14, 1 << 16
+
+
 def _probes(rows: DataFrame, c: np.ndarray, n: int) -> DataFrame:
     """(cell_idx, v, cluster) for the n nearest centroids of each row."""
 
@@ -131,10 +135,11 @@ def _probes(rows: DataFrame, c: np.ndarray, n: int) -> DataFrame:
 
 def neighbors(vectors: DataFrame, k: int = 20, *, reference: DataFrame | None = None, num_clusters: int | None = None, num_clusters_searched: int | None = None, seed: int = 0, kmeans_barbar: bool = False) -> DataFrame:
     """Approximate neighbours by an inverted file: k-means over the reference, each query visits its
-    nearest clusters, which hold about sqrt(n) rows each. (cell_idx, rank, nbr_idx, dist2)."""
+    nearest clusters, which hold about sqrt(n) rows each (there are CLUSTERS at most). A cluster with more than
+    PART references or queries meets in several tasks. (cell_idx, rank, nbr_idx, dist2)."""
     same, ref = reference is None, vectors if reference is None else reference
     n = ref.count()
-    clusters = num_clusters or max(1, round(n**0.5))
+    clusters = num_clusters or max(1, min(CLUSTERS, round(n**0.5)))
     c = kmeans(ref, min(clusters, n), seed=seed, plus=kmeans_barbar)
     searched = min(len(c), num_clusters_searched or max(1, round(len(c) ** 0.5) + 4))
 
@@ -149,7 +154,15 @@ def neighbors(vectors: DataFrame, k: int = 20, *, reference: DataFrame | None =
             parts.append(pd.DataFrame({"cell_idx": q_ids[row], "nbr_idx": nbr, "dist2": d}))
         return pd.concat(parts)
 
-    found = _probes(ref, c, 1).groupBy("cluster").cogroup(_probes(vectors, c, searched).groupBy("cluster")).applyInPandas(meet, "cell_idx long, nbr_idx long, dist2 double")
+    held, asked = _probes(ref, c, 1), _probes(vectors, c, searched)
+    sizes = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count("*") / PART).alias(name))
+    parts = F.broadcast(sizes(held, "held_parts").join(sizes(asked, "asked_parts"), "cluster"))
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{name}_parts") - 1)).alias(name)
+    own = lambda name: F.pmod(F.xxhash64("cell_idx"), f"{name}_parts").alias(name)
+    held = held.join(parts, "cluster").select("cluster", own("held"), each("asked"), "cell_idx", "v")
+    asked = asked.join(parts, "cluster").select("cluster", each("held"), own("asked"), "cell_idx", "v")
+    place = ("cluster", "held", "asked")
+    found = held.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(meet, "cell_idx long, nbr_idx long, dist2 double")
     return _top(found, k)
 
 

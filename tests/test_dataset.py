@@ -118,6 +118,15 @@ def test_pareto_ties_and_infinities(spark):
     assert {r["g"] for r in ranks.pareto_front(df, ["k"], "x", "y", "g").collect()} == {2, 3, 5}
 
 
+def test_knn_ivf_is_the_same_with_split_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(200, 3)))], "cell_idx long, v array<double>")
+    rows = lambda: sorted(tuple(r) for r in neighbors.neighbors(df, 4, num_clusters=3, num_clusters_searched=3).collect())
+    whole = rows()
+    monkeypatch.setattr(neighbors, "PART", 17)
+    assert rows() == whole and len(whole) == 800
+
+
 def test_knn_ivf_recall_and_exact(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(600, 8))
