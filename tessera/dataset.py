@@ -121,6 +121,21 @@ class SingleCell:
             uns=h5ad.plain(path) if uns else {}, check=False,
         )
 
+    def to_scanpy(self, path: str) -> Any:
+        """An AnnData object on the driver, by way of the file it is written to. Needs the anndata package."""
+        import anndata
+
+        self.save(path if path.endswith(".h5ad") else f"{path}.h5ad")
+        return anndata.read_h5ad(h5ad.local(path if path.endswith(".h5ad") else f"{path}.h5ad"))
+
+    @classmethod
+    def from_scanpy(cls, spark: SparkSession, adata: Any, path: str) -> "SingleCell":
+        """A dataset from an AnnData object, by way of a file in a folder that all tasks can read; tasks go on
+        reading it, so it has to stay."""
+        path = path if path.endswith(".h5ad") else f"{path}.h5ad"
+        adata.write_h5ad(h5ad.local(path))
+        return cls.from_h5ad(spark, path)
+
     @classmethod
     def from_10x(cls, spark: SparkSession, path: str) -> "SingleCell":
         """A 10x .h5 file: group `matrix`, genes x cells in compressed columns."""

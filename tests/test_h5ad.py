@@ -164,3 +164,25 @@ def test_10x(spark, tmp_path):
     s = SingleCell.load(spark, path)
     assert sorted(map(tuple, s.X.collect())) == [(0, 0, 4), (0, 2, 1), (1, 1, 9)]
     assert s.shape == (2, 3) and s.var.columns == ["gene_idx", "gene", "id"]
+
+
+class Annotated:
+    """Stands in for an AnnData object: all that is asked of one is that it writes itself."""
+
+    def __init__(self, small):
+        self.small = small
+
+    def write_h5ad(self, path):
+        self.small.save(path)
+
+
+def test_scanpy(spark, small, tmp_path):
+    s = SingleCell.from_scanpy(spark, Annotated(small), str(tmp_path / "a"))
+    assert s.shape == (3, 4) and s.X.count() == 3
+    try:
+        import anndata  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            small.to_scanpy(str(tmp_path / "b"))
+    else:
+        assert small.to_scanpy(str(tmp_path / "b")).shape == (3, 4)
