@@ -31,8 +31,8 @@ def qc(counts: DataFrame, obs: DataFrame, var: DataFrame, group: str | None, *,
 
     In order: enough samples; custom filter; known group; enough cells; enough samples again; number of zero
     genes below mean + k population standard deviations; enough samples; genes whose
-    (1 - min_nonzero_fraction) quantile over the samples of every group is above zero. With a group, a
-    cell type needs min_samples in each of its groups, and two groups at least.
+    (1 - min_nonzero_fraction) quantile over the samples of every group is above zero (negative values count
+    as zeros there). With a group, a cell type needs min_samples in each of its groups, and two groups at least.
     """
 
     def enough(o: DataFrame) -> DataFrame:
@@ -66,9 +66,15 @@ def qc(counts: DataFrame, obs: DataFrame, var: DataFrame, group: str | None, *,
     kept = counts.join(o.select("cell_type", "sample"), ["cell_type", "sample"], "left_semi")
     if min_nonzero_fraction is not None:
         by = ["cell_type", *([group] if group else [])]
-        rows = full(kept, o, v).join(o.select("cell_type", "sample", *by[1:]), ["cell_type", "sample"])
-        low = rows.groupBy(*by, "gene").agg(F.percentile("value", F.lit(1 - min_nonzero_fraction)).alias("_q")).groupBy("cell_type", "gene").agg(F.min("_q").alias("_q"))
-        v = v.join(low.where("_q > 0").select("cell_type", "gene"), ["cell_type", "gene"], "left_semi")
+        # The quantile of n samples lies between two of them, of which the upper one is the (ceil(h) + 1)-th for
+        # h = (n - 1) q; it is above zero where no more than ceil(h) samples are zero. So counts of samples
+        # that have a gene are enough, and no zeros are made.
+        sizes = o.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_need", F.col("_n") - F.ceil((F.col("_n") - 1) * F.lit(1 - min_nonzero_fraction)))
+        groups = sizes.groupBy("cell_type").agg(F.count("*").alias("_groups"))
+        have = kept.where("value > 0").join(o.select("cell_type", "sample", *by[1:]), ["cell_type", "sample"]).groupBy(*by, "gene").agg(F.count("*").alias("_have"))
+        passed = have.join(sizes, by).where("_have >= _need").groupBy("cell_type", "gene").agg(F.count("*").alias("_passed"))
+        good = passed.join(groups, "cell_type").where("_passed = _groups")
+        v = v.join(good.select("cell_type", "gene"), ["cell_type", "gene"], "left_semi")
         kept = kept.join(v.select("cell_type", "gene"), ["cell_type", "gene"], "left_semi")
     return kept, o, v
 
