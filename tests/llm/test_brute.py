@@ -547,6 +547,26 @@ def test_chains_lose_no_link_between_holders_of_a_window(spark):
     assert lost == 0 and missed <= 0.001 * total, (lost, len(shared), missed, total)
 
 
+def test_chains_link_unlike_holders_of_hot_seeds(spark):
+    """Two fuzzy copies of a passage whose seeds are all hot are linked, though the seeds' first and last holders
+    have only parts of it."""
+    rng = np.random.default_rng(21)
+    junk = lambda n: [f"j{x}" for x in rng.integers(0, 10**9, n)]
+    cases = {}
+    for case in range(6):
+        passage, n = junk(64), 3 * chains.CROWD
+        for i in range(n):  # parts of under 50 words, in documents before and after
+            low = 0 if i % 2 else 24
+            cases[1000 * case + i + (0 if i < n // 2 else 500)] = passage[low : low + 40]
+        for i, changed in ((100, (12, 40)), (101, (26, 53))):
+            cases[1000 * case + i] = [f"x{case}x{i}" if k in changed else w for k, w in enumerate(passage)]
+    docs = spark.createDataFrame([(i, " ".join(junk(40) + t + junk(40))) for i, t in cases.items()], "doc_id long, text string")
+    pairs = {(r["partner_id"], r["doc_id"]) for r in chains.passages(docs).collect()}
+    assert {(1000 * case + 100, 1000 * case + 101) for case in range(6)} <= pairs
+    cleaned = {r["doc_id"]: len(r["text"].split()) for r in chains.cleaned(docs).collect()}
+    assert all(cleaned[1000 * case + 101] < 100 for case in range(6)) and all(cleaned[1000 * case + 100] > 140 for case in range(6))
+
+
 def test_chains_split_where_texts_are_unlike():
     rng = np.random.default_rng(5)
     junk = lambda n: [f"j{x}".encode() for x in rng.integers(0, 10**9, n)]
