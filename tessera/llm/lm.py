@@ -6,10 +6,11 @@ after buckets and after the most frequent pairs of buckets, and attention weight
 text. Weights are trained at once in parts of about `PART_IDS` ids and averaged by their windows, in integers,
 so that the order of tasks does not matter and the session's settings do not either.
 
-The model predicts a subword's frequency class from the window's ids by attention, which adds to the logs of
-the classes after the context, then the bucket of ids within the class from counts after the context, and
-the id from its bucket's counts. A context is the pair of buckets before, if it is one of the `CONTEXTS` most
-frequent, or else the one bucket before. Windows of `SPAN` ids overlap by `SPAN - STRIDE`; every id is scored
+The model predicts a subword from the window's ids by attention: first its frequency class, then, by splits in
+two (hierarchical softmax), the bucket of ids within the class, and the id within the bucket. Attention adds
+to the logs of what the counts give: to those of classes and of splits of buckets after the context, and to
+those of splits of ids in their bucket. A context is the pair of buckets before, if it is one of the `CONTEXTS`
+most frequent, or else the one bucket before. All of it is trained at once. Windows of `SPAN` ids overlap by `SPAN - STRIDE`; every id is scored
 once, in the first window that holds it, by one batched masked attention over the windows of many documents.
 
 Word counts meet documents without gathering a vocabulary anywhere: the most frequent words, at most
@@ -27,6 +28,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +104,9 @@ def forward(w: Weights, x_ids: np.ndarray, context: np.ndarray, prior: np.ndarra
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "z": z, "e": e}
 
 
-def class_logs(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Log probability of the given class at every place: forward() for scoring, with sums as products
-    with ones and no pass that training alone needs."""
+def hidden(w: Weights, x_ids: np.ndarray) -> np.ndarray:
+    """What attention makes of windows (n, SPAN) of embedding rows at every place: the h of forward() for scoring,
+    with sums as products with ones and no pass that training alone needs."""
     x = w["E"][x_ids] + w["P"]
     q, k = x @ (w["Q"] / np.float32(math.sqrt(DIM))), x @ w["K"]
     v = np.concatenate([x @ (w["V"] @ w["O"]), np.ones((*x.shape[:-1], 1), np.float32)], axis=-1)
@@ -112,7 +114,15 @@ def class_logs(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.n
     np.exp(np.minimum(a, TOP, out=a), out=a)
     a *= SEEN
     o = np.matmul(a, v)
-    h = x + o[..., :-1] / o[..., -1:]
+    return x + o[..., :-1] / o[..., -1:]
+
+
+def class_logs(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log probability of the given class at every place."""
+    return picked_logs(w, hidden(w, x_ids), context, classes, prior)
+
+
+def picked_logs(w: Weights, h: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray) -> np.ndarray:
     z = h @ w["U"] + w["b"]
     z += prior[context]
     np.minimum(z, TOP, out=z)
@@ -120,8 +130,61 @@ def class_logs(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.n
     return picked - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
 
 
-def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray) -> tuple[Weights, float]:
-    """Gradients of the mean loss over places with a class (-1: none), and that loss."""
+def summed(rows: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values of by, the sums of the rows of each)."""
+    order = np.argsort(by, kind="stable")
+    there = by[order]
+    first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+    return there[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+class Paths(NamedTuple):
+    """Splits in two on the way to each leaf: leaf i has those of `start[i]` to `start[i + 1]`; `split` is their
+    number and `side` 1 for the right half, -1 for the left."""
+
+    start: np.ndarray
+    split: np.ndarray
+    side: np.ndarray
+
+    def to(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index into leaves, split, side) of all splits on the way to the leaves, and their number for each."""
+        first = self.start[leaves]
+        n = self.start[leaves + 1] - first
+        of = np.repeat(np.arange(len(leaves), dtype=np.int32), n)
+        at = np.arange(len(of)) + np.repeat(first - (np.cumsum(n) - n), n)
+        return of, self.split[at], self.side[at], n
+
+
+def splits(low: np.ndarray, high: np.ndarray, mass: np.ndarray) -> tuple[Paths, np.ndarray]:
+    """Splits of ranges of leaves (from low to before high, one after the other, all leaves in one) down to single
+    leaves, in halves by mass; and (low, middle, high) of each split."""
+    total, made, rows, count = np.append(0.0, np.cumsum(mass)), [], [], 0
+    while True:
+        wide = high - low > 1
+        low, high = low[wide], high[wide]
+        if not len(low):
+            break
+        half = (total[low] + total[high]) / 2
+        middle = np.searchsorted(total, half)
+        middle -= half - total[middle - 1] < total[middle] - half
+        middle = np.clip(middle, low + 1, high - 1)
+        made.append(np.stack([low, middle, high], axis=1))
+        row, n = np.full(len(mass), -1), high - low
+        leaf = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+        row[leaf] = 2 * (count + np.repeat(np.arange(len(low)), n)) + (leaf >= np.repeat(middle, n))
+        rows.append(row)
+        count += len(low)
+        low, high = np.stack([low, middle], axis=1).ravel(), np.stack([middle, high], axis=1).ravel()
+    all_rows = np.array(rows, np.int64).reshape(len(rows), len(mass)).T
+    way = all_rows[all_rows >= 0]
+    start = np.append(0, np.cumsum((all_rows >= 0).sum(axis=1)))
+    ends = np.concatenate(made) if made else np.empty((0, 3), np.int64)
+    return Paths(start, (way >> 1).astype(np.int32), np.where(way & 1, 1, -1).astype(np.float32)), ends
+
+
+def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray, within: "Within | None" = None) -> tuple[Weights, float]:
+    """Gradients of the mean loss over places with a class (-1: none), and that loss: of classes, and of what is
+    `within` them, which adds its part of the gradients of h and keeps those of its own vectors."""
     f = forward(w, x_ids, context, prior)
     there = classes >= 0
     n = max(1, int(there.sum()))
@@ -133,6 +196,10 @@ def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.nd
     dz *= there.ravel()[:, None] / np.float32(n)
     g: Weights = {"U": two(f["h"]).T @ dz, "b": np.ones(len(dz), np.float32) @ dz}
     dh = (dz @ w["U"].T).reshape(f["h"].shape)
+    if within is not None:
+        more, part = within.gradients(two(f["h"]), there.ravel(), n)
+        dh += more.reshape(dh.shape)
+        loss += part
     g["O"] = two(f["o"]).T @ two(dh)
     do = dh @ w["O"].T
     ds = np.matmul(do, f["v"].transpose(0, 2, 1))
@@ -147,7 +214,8 @@ def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.nd
     g["Q"], g["K"], g["V"] = (np.ascontiguousarray(m) for m in np.split(two(f["x"]).T @ two(dqkv), 3, axis=1))
     g["P"] = dx.sum(axis=0)
     g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], x_ids.ravel(), two(dx))
+    rows, sums = summed(two(dx), x_ids.ravel())
+    g["E"][rows] = sums
     return g, loss
 
 
@@ -178,6 +246,48 @@ class Adam:
         self.w = unflat(self.x)
 
 
+class Within:
+    """Vectors of splits under training, by Adagrad on the splits that a step meets."""
+
+    def __init__(self, model: "Model", rate: float = 0.1):
+        self.model, self.rate = model, np.float32(rate)
+        self.t = model.vectors().copy()
+        self.s = np.zeros_like(self.t)
+        self.met = np.zeros(len(self.t), np.int64)
+
+    def at(self, ids: np.ndarray, context: np.ndarray) -> "Within":
+        """The places of the next step, with any id and context where there is none."""
+        self.ids, self.context = ids.ravel(), context.ravel()
+        return self
+
+    def gradients(self, h: np.ndarray, there: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+        """(gradient of h, loss) of the mean over n places `there`."""
+        place = np.flatnonzero(there)
+        dh, loss, self.got = np.zeros_like(h), 0.0, []
+        for of, split, side, many, prior in self.model.ways(self.ids[place], self.context[place]):
+            if not len(of):
+                continue
+            hs, ts = h[place][of], self.t[split]
+            z = (hs * ts) @ np.ones(DIM, h.dtype)
+            z += prior
+            z *= side
+            np.clip(z, -TOP, TOP, out=z)
+            e = np.exp(-z)
+            loss += float(np.log1p(e).sum()) / n
+            d = side * (-e / (1 + e) / h.dtype.type(n))
+            some = many > 0
+            dh[place[some]] += np.add.reduceat(d[:, None] * ts, (np.cumsum(many) - many)[some], axis=0)
+            hs *= d[:, None]
+            self.got.append((*summed(hs, split), np.bincount(split, minlength=len(self.t))))
+        return dh, loss
+
+    def step(self) -> None:
+        for rows, g, n in self.got:
+            self.s[rows] += g * g
+            self.t[rows] -= self.rate * g / (np.sqrt(self.s[rows]) + np.float32(1e-8))
+            self.met += n
+
+
 class Model:
     """Weights, and what the counts give: each id's bucket, each bucket's class, log10 share of an id in its
     bucket, and of a bucket in its class after each bucket."""
@@ -199,6 +309,17 @@ class Model:
         self.shares = np.bincount(self.klass_of, weights=self.mass, minlength=CLASSES) / self.mass.sum()
         self.own = self.mass / np.maximum(self.mass.sum() * self.shares[self.klass_of], 1e-300)
         self.seat = np.full((BUCKETS + 1) * BUCKETS, -1, np.int32)  # a pair's context
+        # Ids by rank are those of buckets one after the other, and these of classes. No split for buckets without ids.
+        used = np.flatnonzero(np.bincount(self.bucket, minlength=BUCKETS))
+        bounds = lambda of: (first := np.flatnonzero(np.append(True, of[1:] != of[:-1])), np.append(first[1:], len(of)))
+        paths, self.halves = splits(*bounds(self.klass_of[used]), self.mass[used])
+        self.used, seat = used, np.searchsorted(used, np.arange(BUCKETS))
+        self.to_bucket = (paths, seat.astype(np.int32))
+        paths, ends = splits(*bounds(self.bucket[order]), counts[order] + 1.0)
+        self.to_id = (Paths(paths.start, paths.split + len(self.halves), paths.side), np.argsort(order).astype(np.int32))
+        total = np.append(0.0, mass)
+        low, middle, high = total[ends].T if len(ends) else np.ones((3, 0))
+        self.id_odds = np.log((high - middle) / (middle - low)).astype(np.float32)
         self.follow(np.zeros((BUCKETS + 1, BUCKETS)))
 
     def light(self) -> "Model":
@@ -207,6 +328,44 @@ class Model:
         out.after = out.share = out.own = out.mass = out.pairs = np.empty(0)
         return out
 
+    def _odds(self, after: np.ndarray) -> np.ndarray:
+        """Logs of right half to left half of every split of buckets after each context."""
+        out = np.zeros((len(after), len(self.halves)), np.float32)
+        order = np.argsort(self.halves[:, 0] * (BUCKETS + 1) + self.halves[:, 2], kind="stable")
+        for at in range(0, len(after) if len(order) else 0, 512):
+            some = np.zeros((min(512, len(after) - at), len(self.used) + 1))
+            some[:, :-1] = 10.0 ** after[at : at + 512][:, self.used]
+            sums = lambda a, b: np.add.reduceat(some, np.stack([self.halves[order, a], self.halves[order, b]], axis=1).ravel(), axis=1)[:, ::2]  # noqa: B023, E731
+            out[at : at + 512, order] = np.log(np.maximum(sums(1, 2), 1e-300) / np.maximum(sums(0, 1), 1e-300))
+        return out
+
+    def vectors(self) -> np.ndarray:
+        """Vectors of splits: of those of buckets, then of those of ids (zero before training)."""
+        return self.weights.get("T", np.zeros((len(self.halves) + len(self.id_odds), DIM), np.float32))
+
+    def ways(self, ids: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(index into ids, split, side, splits for each id, logs from counts) of the splits from each id's class to
+        its bucket, and then of those from there to the id."""
+        paths, seat = self.to_bucket
+        of, split, side, n = paths.to(seat[self.bucket[ids]])
+        yield of, split, side, n, self.odds[context[of], split]
+        paths, seat = self.to_id
+        of, split, side, n = paths.to(seat[ids])
+        yield of, split, side, n, self.id_odds[split - len(self.halves)]
+
+    def inner_logs(self, t: np.ndarray, h: np.ndarray, ids: np.ndarray, context: np.ndarray, most: int = 2048) -> np.ndarray:
+        """Log probability of each id within its class, where attention makes h."""
+        out = np.zeros(len(ids))
+        for at in range(0, len(ids), most):
+            part, mine = slice(at, at + most), h[at : at + most]
+            for of, split, side, _, prior in self.ways(ids[part], context[part]):
+                z = np.einsum("ij,ij->i", mine[of], t[split])
+                z += prior
+                z *= side
+                np.clip(z, -TOP, TOP, out=z)
+                out[part] -= np.bincount(of, weights=np.log1p(np.exp(-z)), minlength=len(mine))
+        return out
+
     def _of_classes(self, counts: np.ndarray) -> np.ndarray:
         by = np.zeros((BUCKETS, CLASSES))
         by[np.arange(BUCKETS), self.klass_of] = 1
@@ -218,6 +377,7 @@ class Model:
         self.prior = np.log(np.maximum((total + PRIOR * self.shares) / (total.sum(axis=1, keepdims=True) + PRIOR), 1e-30)).astype(np.float32)
         self.after = np.log10((pairs + PRIOR * self.own) / (total[:, self.klass_of] + PRIOR)).astype(np.float32)
         top = np.argsort(-pairs[:BUCKETS].ravel(), kind="stable")[:CONTEXTS]
+        self.odds = self._odds(self.after)
         self.pairs = top[pairs.ravel()[top] > 0]
         self.seat[:] = -1
         self.seat[self.pairs] = np.arange(len(self.pairs))
@@ -229,6 +389,7 @@ class Model:
         after = np.log10((counts + PAIR_PRIOR * 10.0 ** self.after[last]) / (total[:, self.klass_of] + PAIR_PRIOR))
         self.prior = np.concatenate([self.prior[: BUCKETS + 1], prior.astype(np.float32)])
         self.after = np.concatenate([self.after[: BUCKETS + 1], after.astype(np.float32)])
+        self.odds = np.concatenate([self.odds[: BUCKETS + 1], self._odds(after)])
 
     def places(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, their buckets, the buckets before them, their contexts) of texts one after the other."""
@@ -249,20 +410,25 @@ class Model:
 
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(embedding rows, contexts, classes) of the windows of texts one after the other, without overlap."""
+        x, context, ids, there = self.laid(texts)
+        return x, context, np.where(there, self.klass[ids], -1)
+
+    def laid(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(embedding rows, contexts, ids, whether there is one) of windows()."""
         ids, _, before, context = self.places(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         n = -(-lengths // SPAN)
         place = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[:, None] * SPAN + np.arange(SPAN)
         there = place < np.repeat(lengths, n)[:, None]
         seat = np.where(there, place + np.repeat(np.cumsum(lengths) - lengths, n)[:, None], 0)
-        return before[seat], context[seat], np.where(there, self.klass[ids[seat]], -1)
+        return before[seat], context[seat], ids[seat], there
 
     def scores(self, texts: list[np.ndarray], batch: int = 1024) -> np.ndarray:
         """log10 probability of each sequence of ids (with its end)."""
-        ids, rows, before, context = self.places(texts)
+        ids, _, before, context = self.places(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         starts = np.cumsum(lengths) - lengths
-        out = np.add.reduceat(self.share[ids] + self.after[context, rows], starts) if len(ids) else np.zeros(len(texts))
+        out, t = np.zeros(len(texts)), self.vectors()
         n_windows = 1 + np.maximum(0, -(-(lengths - SPAN) // STRIDE))
         doc = np.repeat(np.arange(len(texts)), n_windows)
         j = np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
@@ -274,7 +440,9 @@ class Model:
             there = place < lengths[d][:, None]
             new = there & ((first == 0)[:, None] | (places >= SPAN - STRIDE))
             seat = np.minimum(starts[d][:, None] + place, len(ids) - 1)
-            got = class_logs(self.weights, before[seat], context[seat], klass[seat], self.prior).astype(np.float64)
+            h = hidden(self.weights, before[seat])
+            got = picked_logs(self.weights, h, context[seat], klass[seat], self.prior).astype(np.float64)
+            got[new] += self.inner_logs(t, h[new], ids[seat[new]], context[seat[new]])
             out += np.bincount(d, weights=(got * new).sum(axis=1) / math.log(10), minlength=len(texts))
         return out
 
@@ -344,35 +512,62 @@ def _gather(docs: DataFrame, tokens: tuple[str, str, str]) -> DataFrame:
 
 
 def _average(texts: DataFrame, model: Model, parts: int) -> Weights:
-    """Each part trains from the same weights on all of its windows, and weights are averaged."""
+    """Each part trains from the same weights on all of its windows, and weights are averaged by windows, vectors of
+    splits by the times that a part met the split."""
     start, small = model.weights, model.light()
+    n_flat, n_splits = len(flat(start)), len(model.halves) + len(model.id_odds)
+
+    def packed(block: list[int], x: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array([zlib.compress(v.astype("<i8").tobytes(), 1) for v in c], pa.binary()) for c in (x, n))], ["block", "x", "n"])
+
+    def raised(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.rint(x.astype(np.float64) * SCALE).astype(np.int64) * n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, n = Adam(start), 0
+        state, within, n = Adam(start), Within(small), 0
         for b in batches:
             for some in texts_of(b, 64):
-                x, context, classes = small.windows(some)
+                x, context, ids, there = small.laid(some)
+                classes = np.where(there, small.klass[ids], -1)
                 n += len(x)
                 # Windows of a text stand together; steps mix those of many texts.
                 order = np.argsort((np.arange(len(x)) * 2654435761) % (1 << 32), kind="stable")
                 for at in range(0, len(x), 96):
                     pick = order[at : at + 96]
-                    state.step(gradients(state.w, x[pick], context[pick], classes[pick], small.prior)[0])
+                    state.step(gradients(state.w, x[pick], context[pick], classes[pick], small.prior, within.at(ids[pick], context[pick]))[0])
+                    within.step()
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state.x), dtype=np.int32)), pa.array(np.rint(state.x.astype(np.float64) * SCALE).astype(np.int64) * n), pa.array(np.full(len(state.x), n))], ["i", "x", "n"])
+            yield packed([0], [raised(state.x, np.int64(n))], [np.array([n])])
+            for at in range(0, n_splits, SPLITS):
+                part = slice(at, at + SPLITS)
+                yield packed([1 + at // SPLITS], [raised(within.t[part], within.met[part, None])], [within.met[part]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for block, *raw in zip(b.column("block").to_pylist(), b.column("x"), b.column("n"), strict=True):
+                got = [np.frombuffer(zlib.decompress(r.as_buffer()), "<i8") for r in raw]
+                sums[block] = [u + v for u, v in zip(sums[block], got, strict=True)] if block in sums else got
+        if sums:
+            yield packed(list(sums), *map(list, zip(*sums.values(), strict=True)))
 
     # Dealt row by row, as equal texts may be many, and sorted, so that batches are the same in every attempt.
     laid = texts.repartition(parts).sortWithinPartitions("n", "key").select("key")
-    # One row for each weight of a model of fixed size.
-    rows = laid.mapInArrow(run, "i int, x long, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    if not rows:
-        return model.weights
-    x = np.zeros(len(flat(model.weights)))
-    for r in rows:
-        x[r["i"]] = r["x"] / r["n"] / SCALE
-    return unflat(x.astype(np.float32))
-
-
+    schema = "block int, x binary, n binary"
+    out, vectors = flat(start), model.vectors().copy()
+    # A model of fixed size, in blocks.
+    for r in laid.mapInArrow(run, schema).repartition(2 + n_splits // SPLITS, "block").mapInArrow(add, schema).toLocalIterator():
+        x, n = (np.frombuffer(zlib.decompress(r[c]), "<i8") for c in ("x", "n"))
+        if r["block"] == 0:
+            out = (x / n / SCALE).astype(np.float32)
+        else:
+            at = (r["block"] - 1) * SPLITS
+            vectors[at : at + SPLITS] = x.reshape(-1, DIM) / np.maximum(n, 1)[:, None] / SCALE
+    return unflat(out[:n_flat]) | {"T": vectors}
+
+
+#: Splits whose vectors travel as one row.
+SPLITS = 4096
 #: Contexts whose counts travel as one row.
 BLOCK = 256
 

@@ -453,6 +453,54 @@ def test_lm_learns_from_all_ids(spark, odd, monkeypatch):
         assert y[y >= 0].tolist() == [*model.klass[np.arange(n)], *model.klass[np.arange(3)]] and len(x) == -(-n // lm.SPAN) + 1
 
 
+def with_vectors(seed):
+    rng, m = random_model(seed)
+    m.weights["T"] = rng.normal(0, 0.3, m.vectors().shape).astype(np.float32)
+    return rng, m
+
+
+def test_lm_attention_predicts_ids():
+    rng, m = with_vectors(9)
+    texts = [rng.integers(0, lm.IDS, 40) for _ in range(3)]
+    one = lambda p, i: np.array([*p, i])
+    for p in ([], texts[0][:1].tolist(), texts[1][:20].tolist()):
+        before = m.scores([np.array(p, np.int64)])[0] if p else 0.0
+        parts = [m.scores([one(p, i) for i in range(at, min(lm.IDS, at + 5000))]) - before for at in range(0, lm.IDS, 5000)]
+        assert np.isclose((10 ** np.concatenate(parts)).sum(), 1, rtol=1e-3)
+    # Two ids of one class, and two of one bucket, after windows that differ before the context.
+    of_class = np.flatnonzero(m.klass == m.klass[texts[0][-1]])
+    a, b = of_class[m.bucket[of_class] == m.bucket[of_class[0]]][0], of_class[m.bucket[of_class] != m.bucket[of_class[0]]][0]
+    shared = np.bincount(m.bucket).argmax()
+    c, d = np.flatnonzero(m.bucket == shared)[:2]
+    for x, y in ((a, b), (c, d)):
+        odds = [np.subtract(*m.scores([one([u, *texts[2][:4]], x), one([u, *texts[2][:4]], y)])) for u in texts[1][:5]]
+        assert np.ptp(odds) > 1e-3
+
+
+def test_lm_gradients_within_classes():
+    rng, m = with_vectors(10)
+    w = {k: v.astype(np.float64) for k, v in m.weights.items()}
+    prior = m.prior.astype(np.float64)
+    x, c, i = rng.integers(0, lm.BUCKETS, (3, lm.SPAN)), rng.integers(0, len(prior), (3, lm.SPAN)), rng.integers(0, lm.IDS, (3, lm.SPAN))
+    y = np.where(rng.random(i.shape) < 0.2, -1, m.klass[i])
+
+    def loss(w):
+        inner = lm.Within(m)
+        inner.t = w["T"].astype(np.float64)
+        return *lm.gradients(w, x, c, y, prior, inner.at(i, c)), inner
+
+    g, _, inner = loss(w)
+    for rows, part, _ in inner.got:
+        g.setdefault("T", np.zeros_like(w["T"]))[rows] += part
+    full = g["T"]
+    for k in w:
+        at = tuple(int(rng.integers(n)) for n in w[k].shape) if k not in "ET" else (int(x[0, 3]), 2) if k == "E" else (int(np.abs(full).sum(axis=1).argmax()), 3)
+        up, down = ({n: a.copy() for n, a in w.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert np.isclose((loss(up)[1] - loss(down)[1]) / 2e-5, g[k][at], rtol=2e-3, atol=1e-6), k
+
+
 def test_lm_parts_average(spark):
     rng = np.random.default_rng(8)
     docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 300))) for i in range(60)], "doc_id long, text string")
