@@ -82,39 +82,55 @@ TOP = np.float32(60)
 SEEN = np.tril(np.ones((SPAN, SPAN), np.float32))
 
 
-def forward(w: Weights, x_ids: np.ndarray, context: np.ndarray, prior: np.ndarray) -> dict[str, np.ndarray]:
-    """Log probabilities of the next class at every place of windows (n, SPAN) of embedding rows. prior: logs
-    of classes after each context, which attention adds to."""
-    x = w["E"][x_ids] + w["P"]
-    qkv = x @ np.concatenate([w["Q"] / np.float32(math.sqrt(DIM)), w["K"], w["V"]], axis=1)
+def times(m: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """m @ by with all rows of m in one product."""
+    return (m.reshape(-1, m.shape[-1]) @ by).reshape(*m.shape[:-1], by.shape[1])
+
+
+def passed(w: Weights, x_ids: np.ndarray, context: np.ndarray, prior: np.ndarray) -> dict[str, np.ndarray]:
+    """Probabilities e of the next class at every place of windows (n, SPAN) of embedding rows, the logits z,
+    and what is on the way. prior: logs of classes after each context, which attention adds to."""
+    x = w["E"].take(x_ids, axis=0)
+    x += w["P"]
+    qkv = times(x, np.concatenate([w["Q"] / np.float32(math.sqrt(DIM)), w["K"], w["V"]], axis=1))
     q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
     a = np.matmul(q, k.transpose(0, 2, 1))
     np.exp(np.minimum(a, TOP, out=a), out=a)
     a *= SEEN
     a /= (a @ np.ones(SPAN, np.float32))[..., None]
     o = np.matmul(a, v)
-    h = x + o @ w["O"]
-    z = h @ w["U"] + w["b"]
-    z += prior[context]
+    h = x + times(o, w["O"])
+    z = times(h, w["U"])
+    z += w["b"]
+    z += prior.take(context, axis=0)
     np.minimum(z, TOP, out=z)
     e = np.exp(z)
     total = e @ np.ones(CLASSES, np.float32)
     e /= total[..., None]
-    z -= np.log(total)[..., None]
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "z": z, "e": e}
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "z": z, "e": e, "total": total}
+
+
+def forward(w: Weights, x_ids: np.ndarray, context: np.ndarray, prior: np.ndarray) -> dict[str, np.ndarray]:
+    """passed(), with z the log probabilities."""
+    f = passed(w, x_ids, context, prior)
+    f["z"] -= np.log(f["total"])[..., None]
+    return f
 
 
 def hidden(w: Weights, x_ids: np.ndarray) -> np.ndarray:
     """What attention makes of windows (n, SPAN) of embedding rows at every place: the h of forward() for scoring,
     with sums as products with ones and no pass that training alone needs."""
-    x = w["E"][x_ids] + w["P"]
-    q, k = x @ (w["Q"] / np.float32(math.sqrt(DIM))), x @ w["K"]
-    v = np.concatenate([x @ (w["V"] @ w["O"]), np.ones((*x.shape[:-1], 1), np.float32)], axis=-1)
+    x = w["E"].take(x_ids, axis=0)
+    x += w["P"]
+    qkv = times(x, np.concatenate([w["Q"] / np.float32(math.sqrt(DIM)), w["K"], w["V"] @ w["O"], np.zeros((DIM, 1), np.float32)], axis=1))
+    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    v[..., -1] = 1
     a = np.matmul(q, k.transpose(0, 2, 1))
     np.exp(np.minimum(a, TOP, out=a), out=a)
     a *= SEEN
     o = np.matmul(a, v)
-    return x + o[..., :-1] / o[..., -1:]
+    x += o[..., :-1] / o[..., -1:]
+    return x
 
 
 def class_logs(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -123,19 +139,26 @@ def class_logs(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.n
 
 
 def picked_logs(w: Weights, h: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    z = h @ w["U"] + w["b"]
-    z += prior[context]
+    z = times(h, w["U"])
+    z += w["b"]
+    z += prior.take(context, axis=0)
     np.minimum(z, TOP, out=z)
     picked = np.take_along_axis(z, classes[..., None], -1)[..., 0]
     return picked - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
 
 
-def summed(rows: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct values of by, the sums of the rows of each)."""
-    order = np.argsort(by, kind="stable")
+def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at `first`, by two columns at once."""
+    pairs = np.ascontiguousarray(rows).view(np.complex64 if rows.dtype == np.float32 else np.complex128)
+    return np.add.reduceat(pairs, first, axis=0).view(rows.dtype)
+
+
+def summed(rows: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct values of by, the sums of the rows of each, and how many they are)."""
+    order = np.argsort(by.astype(np.int16) if len(by) and by.max() < 1 << 15 else by, kind="stable")
     there = by[order]
     first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
-    return there[first], np.add.reduceat(rows[order], first, axis=0)
+    return there[first], run_sums(rows.take(order, axis=0), first), np.diff(first, append=len(by))
 
 
 class Paths(NamedTuple):
@@ -152,7 +175,7 @@ class Paths(NamedTuple):
         n = self.start[leaves + 1] - first
         of = np.repeat(np.arange(len(leaves), dtype=np.int32), n)
         at = np.arange(len(of)) + np.repeat(first - (np.cumsum(n) - n), n)
-        return of, self.split[at], self.side[at], n
+        return of, self.split.take(at), self.side.take(at), n
 
 
 def splits(low: np.ndarray, high: np.ndarray, mass: np.ndarray) -> tuple[Paths, np.ndarray]:
@@ -185,13 +208,13 @@ def splits(low: np.ndarray, high: np.ndarray, mass: np.ndarray) -> tuple[Paths,
 def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.ndarray, prior: np.ndarray, within: "Within | None" = None) -> tuple[Weights, float]:
     """Gradients of the mean loss over places with a class (-1: none), and that loss: of classes, and of what is
     `within` them, which adds its part of the gradients of h and keeps those of its own vectors."""
-    f = forward(w, x_ids, context, prior)
+    f = passed(w, x_ids, context, prior)
     there = classes >= 0
     n = max(1, int(there.sum()))
     two = lambda m: m.reshape(-1, m.shape[-1])
     rows, picked = np.arange(classes.size), np.maximum(classes, 0).ravel()
-    loss = -float((two(f["z"])[rows, picked] * there.ravel()).sum()) / n
     dz = two(f["e"])
+    loss = -float(((two(f["z"])[rows, picked] - np.log(f["total"]).ravel()) * there.ravel()).sum()) / n
     dz[rows, picked] -= 1
     dz *= there.ravel()[:, None] / np.float32(n)
     g: Weights = {"U": two(f["h"]).T @ dz, "b": np.ones(len(dz), np.float32) @ dz}
@@ -201,7 +224,7 @@ def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.nd
         dh += more.reshape(dh.shape)
         loss += part
     g["O"] = two(f["o"]).T @ two(dh)
-    do = dh @ w["O"].T
+    do = times(dh, w["O"].T)
     ds = np.matmul(do, f["v"].transpose(0, 2, 1))
     dqkv = np.empty((*x_ids.shape, 3 * DIM), f["x"].dtype)
     np.matmul(f["a"].transpose(0, 2, 1), do, out=dqkv[..., 2 * DIM :])
@@ -210,11 +233,11 @@ def gradients(w: Weights, x_ids: np.ndarray, context: np.ndarray, classes: np.nd
     np.matmul(ds, f["k"], out=dqkv[..., :DIM])
     np.matmul(ds.transpose(0, 2, 1), f["q"], out=dqkv[..., DIM : 2 * DIM])
     dqkv[..., :DIM] *= np.float32(1 / math.sqrt(DIM))
-    dx = dh + dqkv @ np.concatenate([w["Q"], w["K"], w["V"]], axis=1).T
+    dx = dh + times(dqkv, np.concatenate([w["Q"], w["K"], w["V"]], axis=1).T)
     g["Q"], g["K"], g["V"] = (np.ascontiguousarray(m) for m in np.split(two(f["x"]).T @ two(dqkv), 3, axis=1))
     g["P"] = dx.sum(axis=0)
     g["E"] = np.zeros_like(w["E"])
-    rows, sums = summed(two(dx), x_ids.ravel())
+    rows, sums, _ = summed(two(dx), x_ids.ravel())
     g["E"][rows] = sums
     return g, loss
 
@@ -263,29 +286,31 @@ class Within:
     def gradients(self, h: np.ndarray, there: np.ndarray, n: int) -> tuple[np.ndarray, float]:
         """(gradient of h, loss) of the mean over n places `there`."""
         place = np.flatnonzero(there)
-        dh, loss, self.got = np.zeros_like(h), 0.0, []
+        mine, dh, loss, self.got = h.take(place, axis=0), np.zeros_like(h), 0.0, []
         for of, split, side, many, prior in self.model.ways(self.ids[place], self.context[place]):
             if not len(of):
                 continue
-            hs, ts = h[place][of], self.t[split]
+            hs, ts = mine.take(of, axis=0), self.t.take(split, axis=0)
             z = (hs * ts) @ np.ones(DIM, h.dtype)
             z += prior
             z *= side
             np.clip(z, -TOP, TOP, out=z)
             e = np.exp(-z)
             loss += float(np.log1p(e).sum()) / n
-            d = side * (-e / (1 + e) / h.dtype.type(n))
+            d = (side * (-e / (1 + e) / n)).astype(h.dtype, copy=False)[:, None]
             some = many > 0
-            dh[place[some]] += np.add.reduceat(d[:, None] * ts, (np.cumsum(many) - many)[some], axis=0)
-            hs *= d[:, None]
-            self.got.append((*summed(hs, split), np.bincount(split, minlength=len(self.t))))
+            ts *= d
+            dh[place[some]] += run_sums(ts, (np.cumsum(many) - many)[some])
+            hs *= d
+            self.got.append(summed(hs, split))
         return dh, loss
 
     def step(self) -> None:
         for rows, g, n in self.got:
-            self.s[rows] += g * g
-            self.t[rows] -= self.rate * g / (np.sqrt(self.s[rows]) + np.float32(1e-8))
-            self.met += n
+            much = self.s.take(rows, axis=0) + g * g
+            self.s[rows] = much
+            self.t[rows] -= self.rate * g / (np.sqrt(much) + np.float32(1e-8))
+            self.met[rows] += n
 
 
 class Model:
@@ -322,21 +347,32 @@ class Model:
         self.id_odds = np.log((high - middle) / (middle - low)).astype(np.float32)
         self.follow(np.zeros((BUCKETS + 1, BUCKETS)))
 
-    def light(self) -> "Model":
-        """The model without the tables that only scores need."""
+    def light(self, within: bool = True) -> "Model":
+        """The model without the tables that only follow() needs, and without what predicts within classes, if
+        this is not asked for."""
         out = copy.copy(self)
         out.after = out.share = out.own = out.mass = out.pairs = np.empty(0)
+        if not within:
+            out.odds, out.to_bucket, out.to_id, out.id_odds = out.odds[:0], None, None, None
         return out
 
+    def __getstate__(self) -> dict:
+        """Odds travel packed: in most contexts most are those of the context of one bucket."""
+        return self.__dict__ | {"odds": zlib.compress(self.odds.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.odds = np.frombuffer(zlib.decompress(state["odds"]), np.float32).reshape(-1, max(1, len(self.halves)))
+
     def _odds(self, after: np.ndarray) -> np.ndarray:
         """Logs of right half to left half of every split of buckets after each context."""
-        out = np.zeros((len(after), len(self.halves)), np.float32)
+        out = np.zeros((len(after), max(1, len(self.halves))), np.float32)
         order = np.argsort(self.halves[:, 0] * (BUCKETS + 1) + self.halves[:, 2], kind="stable")
         for at in range(0, len(after) if len(order) else 0, 512):
             some = np.zeros((min(512, len(after) - at), len(self.used) + 1))
             some[:, :-1] = 10.0 ** after[at : at + 512][:, self.used]
             sums = lambda a, b: np.add.reduceat(some, np.stack([self.halves[order, a], self.halves[order, b]], axis=1).ravel(), axis=1)[:, ::2]  # noqa: B023, E731
-            out[at : at + 512, order] = np.log(np.maximum(sums(1, 2), 1e-300) / np.maximum(sums(0, 1), 1e-300))
+            out[at : at + 512, order] = np.log(np.maximum(sums(1, 2), 1e-300)) - np.log(np.maximum(sums(0, 1), 1e-300))
         return out
 
     def vectors(self) -> np.ndarray:
@@ -348,7 +384,7 @@ class Model:
         its bucket, and then of those from there to the id."""
         paths, seat = self.to_bucket
         of, split, side, n = paths.to(seat[self.bucket[ids]])
-        yield of, split, side, n, self.odds[context[of], split]
+        yield of, split, side, n, self.odds.ravel().take(np.take(context * self.odds.shape[1], of) + split)
         paths, seat = self.to_id
         of, split, side, n = paths.to(seat[ids])
         yield of, split, side, n, self.id_odds[split - len(self.halves)]
@@ -359,7 +395,7 @@ class Model:
         for at in range(0, len(ids), most):
             part, mine = slice(at, at + most), h[at : at + most]
             for of, split, side, _, prior in self.ways(ids[part], context[part]):
-                z = np.einsum("ij,ij->i", mine[of], t[split])
+                z = (mine.take(of, axis=0) * t.take(split, axis=0)) @ np.ones(DIM, np.float32)
                 z += prior
                 z *= side
                 np.clip(z, -TOP, TOP, out=z)
@@ -514,8 +550,9 @@ def _gather(docs: DataFrame, tokens: tuple[str, str, str]) -> DataFrame:
 def _average(texts: DataFrame, model: Model, parts: int) -> Weights:
     """Each part trains from the same weights on all of its windows, and weights are averaged by windows, vectors of
     splits by the times that a part met the split."""
-    start, small = model.weights, model.light()
-    n_flat, n_splits = len(flat(start)), len(model.halves) + len(model.id_odds)
+    start = model.weights
+    sent = texts.sparkSession.sparkContext.broadcast(model.light())
+    n_splits = len(model.halves) + len(model.id_odds)
 
     def packed(block: list[int], x: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array([zlib.compress(v.astype("<i8").tobytes(), 1) for v in c], pa.binary()) for c in (x, n))], ["block", "x", "n"])
@@ -524,6 +561,7 @@ def _average(texts: DataFrame, model: Model, parts: int) -> Weights:
         return np.rint(x.astype(np.float64) * SCALE).astype(np.int64) * n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = sent.value
         state, within, n = Adam(start), Within(small), 0
         for b in batches:
             for some in texts_of(b, 64):
@@ -563,7 +601,8 @@ def _average(texts: DataFrame, model: Model, parts: int) -> Weights:
         else:
             at = (r["block"] - 1) * SPLITS
             vectors[at : at + SPLITS] = x.reshape(-1, DIM) / np.maximum(n, 1)[:, None] / SCALE
-    return unflat(out[:n_flat]) | {"T": vectors}
+    sent.destroy()
+    return unflat(out) | {"T": vectors}
 
 
 #: Splits whose vectors travel as one row.
@@ -577,7 +616,7 @@ def _followers(texts: DataFrame, model: Model, contexts: int, base: int) -> np.n
     size, which travels in packed blocks of contexts, each added up before it reaches the driver."""
     if not contexts:
         return np.zeros((0, BUCKETS))
-    blocks, small = -(-contexts // BLOCK), model.light()
+    blocks, small = -(-contexts // BLOCK), model.light(within=False)
 
     def packed(block: list[int], tables: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([zlib.compress(t.astype("<i8").tobytes(), 1) for t in tables], pa.binary())], ["block", "counts"])
@@ -648,7 +687,7 @@ def score(docs: DataFrame, tokens: tuple[str, str, str], common: int = 200_000)
     ends = counts.where(F.col("key") == F.lit(END_KEY)).first()
     end = ends["c"] if ends else 0
     context = rows.sparkSession.sparkContext
-    sent_words, sent_model = context.broadcast(top), context.broadcast(model)
+    sent_words, sent_model = context.broadcast(top), context.broadcast(model.light())
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent_model.value
