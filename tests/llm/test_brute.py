@@ -615,6 +615,22 @@ def test_chains_link_unlike_holders_of_hot_seeds(spark):
     assert all(cleaned[1000 * case + 101] < 100 for case in range(6)) and all(cleaned[1000 * case + 100] > 140 for case in range(6))
 
 
+def test_pairs_of_seeds_are_small_and_short_hashes_lose_no_words(spark):
+    rng = np.random.default_rng(22)
+    wide = rng.integers(0, 1 << 20, (2000, 2, 50)).astype(np.uint32)
+    wide[:, 1] = np.where(rng.random((2000, 50)) < 0.8, wide[:, 0], wide[:, 1])
+    exact = [chains.extend(a.tolist(), b.tolist())[0] for a, b in wide]
+    for kind in (np.uint32, chains.MARK, np.uint8):  # the shorter the hashes, the more words, and never fewer
+        a, b = wide[:, 0].astype(kind), wide[:, 1].astype(kind)
+        got = chains.reach_of(a, b)
+        assert (got >= exact).all() and (kind != np.uint32 or (got == exact).all())
+    text = " ".join(f"w{i}" for i in range(200))
+    places = [(1, 20, 90, None), (2, 60, 250, 7)]
+    rows = spark.createDataFrame([(1, text, places)], "doc long, text string, places array<struct<key: long, at: int, byte: int, class: long>>")
+    (double,) = chains._doubles(rows, chains.MIN_WORDS).collect()
+    assert len(double["left"]) == len(double["right"]) == 2 * chains.MIN_WORDS
+
+
 def test_chains_split_where_texts_are_unlike():
     rng = np.random.default_rng(5)
     junk = lambda n: [f"j{x}".encode() for x in rng.integers(0, 10**9, n)]
