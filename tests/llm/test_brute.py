@@ -615,6 +615,34 @@ def test_chains_link_unlike_holders_of_hot_seeds(spark):
     assert all(cleaned[1000 * case + 101] < 100 for case in range(6)) and all(cleaned[1000 * case + 100] > 140 for case in range(6))
 
 
+def test_chains_of_runs_do_not_grow_with_the_square_of_repeats(spark):
+    """Documents that repeat the same words: few passages, links by the sum of repeats and not their product, and all
+    of each run is found."""
+    rng = np.random.default_rng(23)
+    junk = lambda n: [f"j{x}" for x in rng.integers(0, 10**9, n)]
+    unit = ["is", "onhe."]
+    cases = {i: junk(40) + unit * (60 + 7 * (i % 5)) + junk(40) for i in range(2 * chains.CROWD)}
+    rows = chains.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in cases.items()], "doc_id long, text string")).collect()
+    found = collections.defaultdict(set)
+    for r in rows:
+        found[r["doc_id"]] |= set(range(r["begin"], r["end"]))
+    for i, t in cases.items():
+        begin = len(" ".join(t[:40])) + 1
+        assert i == 0 or set(range(begin, begin + len(" ".join(unit * (60 + 7 * (i % 5)))))) <= found[i]
+    assert max(collections.Counter((r["doc_id"], r["partner_id"]) for r in rows).values()) <= 8
+    docs = []
+    for doc in (1, 2):
+        words = [f"own{doc}x{i}" for i in range(10)] + ["x"] * chains.K + unit * 60 + [f"end{doc}x{i}" for i in range(9)]
+        at = [(1, 10, 100, doc)] + [(2, 15 + 2 * k, 120 + 9 * k, doc) for k in range(55)]
+        docs.append((doc, " ".join(words), at))
+    kinds = "doc long, text string, places array<struct<key: long, at: int, byte: int, class: long>>"
+    links = chains._between(chains._doubles(spark.createDataFrame(docs, kinds), chains.MIN_WORDS), chains.MIN_WORDS).toPandas().drop_duplicates().sort_values(["at", "other_at"])
+    assert 0 < len(links) < 5 * 55
+    (chain, *_) = chains.chains(links["at"].tolist(), links["other_at"].tolist(), links["run"].tolist())
+    picked = links.iloc[chain]
+    assert (picked["at"] == picked["other_at"]).all() and picked["at"].min() == 10 and picked["at"].max() == 15 + 2 * 54
+
+
 def test_pairs_of_seeds_are_small_and_short_hashes_lose_no_words(spark):
     rng = np.random.default_rng(22)
     wide = rng.integers(0, 1 << 20, (2000, 2, 50)).astype(np.uint32)
